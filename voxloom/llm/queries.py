@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 from .shared import read_table
 
 
+def op1_decontaminate(spark, sf_dir):
+    from .decontaminate import decontaminate
+
+    out = decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    items = F.col("items")
+    return out.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op8_line_dedup(spark, sf_dir):
     from .line_dedup import drop_repeated_lines
 
@@ -14,12 +22,39 @@ def op8_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op8_line_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op8_line_dedup)}
 
 #: A-Z to a-z, as SQL.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: The words of a text, as SQL.
+_WORDS = "list_filter(string_split_regex(" + _LOWER + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
 SQL = {
+    "op1_decontaminate": f"""
+WITH items AS (
+  SELECT item_id, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+sized AS (
+  SELECT item_id, w, least(len(w), 13) AS n FROM items WHERE len(w) > 0),
+wins AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+docs AS (
+  SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+spots AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM wins) AS sizes WHERE len(w) >= n)),
+found AS (
+  SELECT spots.doc_id, spots.n, spots.i, wins.item_id FROM spots JOIN wins ON spots.n = wins.n AND spots.win = wins.win),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM found)) GROUP BY doc_id),
+by_doc AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM found GROUP BY doc_id)
+SELECT docs.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit ON docs.doc_id = hit.doc_id LEFT JOIN by_doc ON docs.doc_id = by_doc.doc_id
+""",
     "op8_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
