@@ -15,6 +15,12 @@ def op1_decontaminate(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_warc(spark, sf_dir):
+    from .warc import warc_round_trip
+
+    return warc_round_trip(read_table(spark, sf_dir, "pages")).drop("url")
+
+
 def op8_line_dedup(spark, sf_dir):
     from .line_dedup import drop_repeated_lines
 
@@ -22,7 +28,13 @@ def op8_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op8_line_dedup)}
+def op9_token_files(spark, sf_dir):
+    from .token_files import token_output
+
+    return token_output(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op7_warc, op8_line_dedup, op9_token_files)}
 
 #: A-Z to a-z, as SQL.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -54,6 +66,23 @@ by_doc AS (
 SELECT docs.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hit ON docs.doc_id = hit.doc_id LEFT JOIN by_doc ON docs.doc_id = by_doc.doc_id
+""",
+    "op7_warc": """
+WITH keyed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT n, h, min(page_id) AS first_id FROM keyed GROUP BY n, h),
+bits AS (
+  SELECT page_id, n, h, array_to_string(list_transform(range(1, 41), lambda i: list_extract(
+    ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'],
+    strpos('0123456789abcdef', substr(h, i, 1)))), '') AS b
+  FROM keyed)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + 16 * substr(b, 5 * k + 1, 1)::INT + 8 * substr(b, 5 * k + 2, 1)::INT + 4 * substr(b, 5 * k + 3, 1)::INT
+           + 2 * substr(b, 5 * k + 4, 1)::INT + substr(b, 5 * k + 5, 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM bits JOIN firsts USING (n, h)
 """,
     "op8_line_dedup": f"""
 WITH lines AS (
