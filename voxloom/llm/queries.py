@@ -15,6 +15,12 @@ def op1_decontaminate(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_simhash(spark, sf_dir):
+    from .simhash import simhash_groups
+
+    return simhash_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark, sf_dir):
     from .warc import warc_round_trip
 
@@ -34,7 +40,7 @@ def op9_token_files(spark, sf_dir):
     return token_output(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op7_warc, op8_line_dedup, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_simhash, op7_warc, op8_line_dedup, op9_token_files)}
 
 #: A-Z to a-z, as SQL.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
