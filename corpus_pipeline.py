@@ -1,8 +1,51 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: quality, near-dedup, decontamination, mixing, token files.
 
-STAGES = []
+Each stage is ``(spark, docs, sf_dir) -> DataFrame``; its result is written as Parquet and read again as the
+next stage's ``docs``. All stages but the last return the columns of ``documents``. Rows with an id in common
+are one document to near-dedup; the mix may then repeat documents, so the token files may hold one twice.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from voxloom.llm import cotraining, decontaminate, mixing, simhash, token_files
+from voxloom.llm.shared import Workspace, read_table
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return cotraining.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each_group(docs)
+
+
+def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_files.token_output(docs)
+
+
+STAGES = [
+    ("quality", good_documents),
+    ("near_dedup", distinct_documents),
+    ("decontaminate", clean_documents),
+    ("mix", mixed_documents),
+    ("token_files", token_output),
+]
+#: A trained classifier, XXH64 and a tokenizer have no SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, work = read_table(spark, sf_dir, "documents"), Workspace(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = work.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

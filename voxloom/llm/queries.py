@@ -21,6 +21,12 @@ def op3_simhash(spark, sf_dir):
     return simhash_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op6_mix_sources(spark, sf_dir):
+    from .mixing import mix
+
+    return mix(read_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark, sf_dir):
     from .warc import warc_round_trip
 
@@ -40,7 +46,13 @@ def op9_token_files(spark, sf_dir):
     return token_output(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_simhash, op7_warc, op8_line_dedup, op9_token_files)}
+def op10_quality(spark, sf_dir):
+    from .cotraining import quality
+
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_simhash, op6_mix_sources, op7_warc, op8_line_dedup, op9_token_files, op10_quality)}
 
 #: A-Z to a-z, as SQL.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
