@@ -26,6 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PAIRS, SOURCES, LANGS = 512, 32, 8
+#: Features count up to so many standard deviations, lest a short text's odd profile decides alone.
+FAR = 4.0
+#: Log-odds up to which one view can speak against the other.
+SURE = 5.0
 TEXT, META = slice(0, PAIRS + 10), slice(PAIRS + 10, PAIRS + 10 + SOURCES + LANGS + 8)
 
 
@@ -98,9 +102,11 @@ class Model:
 
     def views(self, x):
         """Calibrated log-odds of either view."""
-        x = (x - self.mean) / self.scale
+        import numpy as np
+
+        x = np.clip((x - self.mean) / self.scale, -FAR, FAR)
         raw = [w[0] + x[:, part] @ w[1:] for w, part in ((self.text, TEXT), (self.meta, META))]
-        return [a + b * z for (a, b), z in zip(self.calibrate, raw, strict=True)]
+        return [np.clip(a + b * z, -SURE, SURE) for (a, b), z in zip(self.calibrate, raw, strict=True)]
 
     def __call__(self, x):
         """Probabilities of good quality: by text, by page data, by both."""
@@ -114,7 +120,7 @@ def co_train(x, y, pool, *, rounds: int = 4, sure: float = 0.97, per_round: int
 
     x, pool = x.astype(np.float64), pool.astype(np.float64).reshape(-1, META.stop)
     mean, scale = x.mean(0), x.std(0) + 1e-3
-    z, free = (x - mean) / scale, (pool - mean) / scale
+    z, free = (np.clip((v - mean) / scale, -FAR, FAR) for v in (x, pool))
     order = np.random.default_rng(7).permutation(len(y))
     held = np.zeros(len(y), bool)
     for k in (0, 1):
@@ -136,7 +142,7 @@ def co_train(x, y, pool, *, rounds: int = 4, sure: float = 0.97, per_round: int
         weights = [_fit(sets[v][0][:, parts[v]], sets[v][1]) for v in (0, 1)]
     raw = [weights[v][0] + z[held][:, parts[v]] @ weights[v][1:] for v in (0, 1)]
     calibrate = [tuple(_fit(r[:, None], y[held], 0.01)) for r in raw]
-    both = np.stack([a + b * r for (a, b), r in zip(calibrate, raw, strict=True)], 1)
+    both = np.stack([np.clip(a + b * r, -SURE, SURE) for (a, b), r in zip(calibrate, raw, strict=True)], 1)
     combine = _fit(both, y[held], 0.1)
     p = _odds(combine[0] + both @ combine[1:])
     found = {"rows": int(held.sum()), "accuracy": float(((p >= 0.5) == y[held]).mean()), "good_kept": float((p[y[held] == 1] >= 0.5).mean()), "pseudo": [len(sets[v][1]) - int((~held).sum()) for v in (0, 1)]}
