@@ -1,7 +1,7 @@
 """Token-ID output: Arrow stream-file format with fixed-size-list batches.
 
-A file holds record batches of ``ids: fixed_size_list<uint32>[seq_len]`` and ``mask`` (of the same size, 1
-where an id stands, 0 after the last one), so a memory-mapped file gives any sequence by its number without a
+A file holds record batches of ``ids: fixed_size_list<uint16 or uint32>[seq_len]`` (by the size of the
+vocabulary) and ``mask: fixed_size_list<bool>[seq_len]`` (true where an id stands, false after the last one), so a memory-mapped file gives any sequence by its number without a
 copy. A second small file names the documents in it: ``doc_id, at`` (place of the first id), ``n_tokens``.
 Sequences run on over documents, each of which ends with ``end_id``.
 
@@ -9,8 +9,9 @@ Documents are range-partitioned by id, a partition writes one pair of files, and
 each file's place in the whole. Files are written under a temporary name and renamed, so a lost executor's
 task can run again. Ids of one file only are in memory, in pieces of ``flush`` ids.
 
-Ids are the tokenizer library's: per piece of the vocabulary's own split, which the byte-level model encodes
-one by one, with a bounded cache in each Python worker. Texts with characters beyond ``PLAIN`` or with the
+Ids are the tokenizer library's. The byte-level model encodes each piece of the vocabulary's own split on its
+own, so pieces (or whole runs between spaces, where no space is next to other white space) go to the library
+once for some megabytes of text, and frequent ones into a bounded cache of each Python worker. Texts with characters beyond ``PLAIN`` or with the
 name of a special token go to the library whole.
 
 Defined results: null text is an empty one (its end id only); a null id sorts first and stays null; repeated
@@ -32,11 +33,15 @@ SEQ_LEN, END_ID = 2048, 0
 #: The public split pattern of this vocabulary, and text in which both regex engines agree on it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BEYOND_PLAIN = r"[^\t\n\r -~¡-¬®-ɏ]"
-CACHED, CACHED_CHARS = 300_000, 40
+#: Where none of these occurs, a space always opens the piece that follows it, so a text can be split at spaces.
+AROUND_SPACE = ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r")
+#: Stands for the space in the names of byte-level ids.
+SPACE_MARK = "Ġ"
+CACHED, CACHED_CHARS, TEXT_CHARS = 200_000, 40, 1 << 23
 
 
 class Encoder:
-    """``text -> bytes`` of little-endian 32-bit ids."""
+    """``texts`` (an Arrow array) ``-> bytes`` of each one's little-endian ids, 16 bits wide where the vocabulary allows, else 32."""
 
     def __init__(self, path: str | None):
         import os
@@ -51,29 +56,92 @@ class Encoder:
 
             path = public_tokenizers.path("byte_bpe_50k.json")
         self.tokenizer = Tokenizer.from_file(path)
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.pieces = regex.compile(SPLIT).findall
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([BEYOND_PLAIN, *map(re.escape, special)])).search
+        self.beyond = "|".join([BEYOND_PLAIN, *map(re.escape, special)])
+        marked = [i for t, i in self.tokenizer.get_vocab().items() if t[:1] == SPACE_MARK]
+        self.opens = None
+        if marked:
+            self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.opens[marked] = True
         self.cache: dict[str, bytes] = {}
-        self.np = np
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [self.np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        if self.whole(text):
-            return self.ids([text])[0]
-        pieces, cache = self.pieces(text), self.cache
-        try:
-            return b"".join(map(cache.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(cache) > CACHED:
-            cache.clear()
-        new = [p for p in set(pieces) if p not in cache]
-        got = dict(zip(new, self.ids(new), strict=True))
-        cache.update((p, b) for p, b in got.items() if len(p) <= CACHED_CHARS)
-        return b"".join([got[p] if p in got else cache[p] for p in pieces])
+        import numpy as np
+
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each part on its own. Those with a space before them and no white space in them go to the library
+        by lines of 64: there just their first ids have the space's mark."""
+        import numpy as np
+
+        lined = [k for k, w in enumerate(words) if w and w[0] != "\0" and not ("\n" in w or "\t" in w or "\r" in w)] if self.opens is not None else []
+        lines = [" " + " ".join([words[k] for k in lined[i : i + 64]]) for i in range(0, len(lined), 64)]
+        ids = np.frombuffer(b"".join(self.ids(lines)), self.kind)
+        starts = np.flatnonzero(self.opens[ids]) if lines else []
+        if len(starts) != len(lined):
+            lined, starts = [], []
+        out: list = [None] * len(words)
+        raw, size = ids.tobytes(), self.kind.itemsize
+        at = [*(size * np.asarray(starts, np.int64)).tolist(), len(raw)]
+        for k, a, z in zip(lined, at, at[1:], strict=False):
+            out[k] = raw[a:z]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, self.ids([words[k][1:] if words[k][:1] == "\0" else " " + words[k] for k in rest]), strict=True):
+            out[k] = x
+        return out
+
+    def of_parts(self, parts):
+        """Ids of an Arrow array of parts, one after the other, and how many each has.
+
+        A part gets a space before it, unless it starts with a NUL (no text that gets here has one), which goes.
+        Only distinct parts come to Python."""
+        import numpy as np
+
+        coded = parts.dictionary_encode()
+        where, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        if len(self.cache) > CACHED:
+            self.cache.clear()
+        found = list(map(self.cache.get, words))
+        new = [i for i, x in enumerate(found) if x is None]
+        often = np.bincount(where, minlength=len(words)) > 1
+        for i, x in zip(new, self.of_words([words[i] for i in new]), strict=True):
+            found[i] = x
+            if often[i] and len(words[i]) <= CACHED_CHARS:
+                self.cache[words[i]] = x
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        pool = np.frombuffer(b"".join(found), self.kind)
+        sizes_of, starts = sizes[where], (np.cumsum(sizes) - sizes)[where]
+        at = np.cumsum(sizes_of) - sizes_of
+        take = np.repeat((starts - at).astype(np.int32 if len(pool) + at[-1:].sum() < 1 << 30 else np.int64), sizes_of)
+        take += np.arange(len(take), dtype=take.dtype)
+        return pool[take], sizes_of
+
+    def __call__(self, texts) -> list[bytes]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        whole = pc.match_substring_regex(texts, self.beyond).to_numpy(zero_copy_only=False)
+        tight = pc.match_substring_regex(texts, "|".join(AROUND_SPACE)).to_numpy(zero_copy_only=False) & ~whole
+        out: list = [None] * len(texts)
+        for k, x in zip(np.flatnonzero(whole), self.ids(texts.filter(pa.array(whole)).to_pylist()), strict=True):
+            out[k] = x
+        plain = ~whole & ~tight
+        text = pc.binary_join_element_wise("\0", texts.filter(pa.array(plain)), "")
+        text = pc.replace_substring_regex(text, r"(\p{L})([^\p{L}\p{N}\s'\x00])", "\\1 \0\\2")  # a piece always ends there
+        text = pc.replace_substring_regex(text, r"([^\s\x00])\n([^\s\x00])", "\\1 \0\n \0\\2")
+        split = [pc.split_pattern(text, " ")]
+        split.append(pa.array([["\0" + x for x in self.pieces(t)] for t in texts.filter(pa.array(tight)).to_pylist()], pa.list_(pa.string())))
+        for docs, lists in zip((plain, tight), split, strict=True):
+            if len(lists):
+                ids, sizes = self.of_parts(lists.flatten())
+                ends = np.r_[0, np.cumsum(sizes)][lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+                for k, a, z in zip(np.flatnonzero(docs), ends, ends[1:], strict=False):
+                    out[k] = ids[a:z].tobytes()
+        return out
 
 
 def _encoder(path: str | None, made: dict = {}) -> Encoder:  # noqa: B006  one per Python worker
@@ -82,12 +150,12 @@ def _encoder(path: str | None, made: dict = {}) -> Encoder:  # noqa: B006  one p
     return made[path]
 
 
-def _sequences(chunks: Iterator[bytes], seq_len: int, sink, flush: int) -> None:
+def _sequences(chunks: Iterator[bytes], dtype, seq_len: int, sink, flush: int) -> None:
     """Write batches of whole sequences from pieces of ids, the last padded with 0 and masked."""
     import numpy as np
     import pyarrow as pa
 
-    kinds = pa.schema([("ids", pa.list_(pa.uint32(), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
+    kinds = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
     with pa.ipc.new_file(sink, kinds) as out:
 
         def put(ids, mask) -> None:
@@ -98,16 +166,16 @@ def _sequences(chunks: Iterator[bytes], seq_len: int, sink, flush: int) -> None:
         for c in chunks:
             held.append(c)
             size += len(c)
-            if size >= 4 * max(flush, seq_len):
-                all_ids = np.frombuffer(b"".join(held), "<u4")
+            if size >= dtype.itemsize * max(flush, seq_len):
+                all_ids = np.frombuffer(b"".join(held), dtype)
                 whole = len(all_ids) // seq_len * seq_len
-                put(all_ids[:whole], np.ones(whole, np.uint8))
-                held, size = [all_ids[whole:].tobytes()], 4 * (len(all_ids) - whole)
-        rest = np.frombuffer(b"".join(held), "<u4")
+                put(all_ids[:whole], np.ones(whole, bool))
+                held, size = [all_ids[whole:].tobytes()], dtype.itemsize * (len(all_ids) - whole)
+        rest = np.frombuffer(b"".join(held), dtype)
         if len(rest):
             whole = -(-len(rest) // seq_len) * seq_len
-            ids, mask = np.zeros(whole, np.uint32), np.zeros(whole, np.uint8)
-            ids[: len(rest)], mask[: len(rest)] = rest, 1
+            ids, mask = np.zeros(whole, dtype), np.zeros(whole, bool)
+            ids[: len(rest)], mask[: len(rest)] = rest, True
             put(ids, mask)
 
 
@@ -120,23 +188,27 @@ def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str | None = N
 
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        part, encode, end = TaskContext.get().partitionId(), _encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        part, encode = TaskContext.get().partitionId(), _encoder(tokenizer)
+        end = np.array([end_id], encode.kind).tobytes()
         ids, counts = [], []
 
         def chunks():
             for b in batches:
-                for i, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                    x = encode(text)
-                    ids.append(i)
-                    counts.append(len(x) // 4 + 1)
-                    yield x
-                    yield end
+                ids.extend(b["doc_id"].to_pylist())
+                sizes = np.cumsum(pc.utf8_length(b["text"]).to_numpy(zero_copy_only=False))
+                cuts = np.flatnonzero(np.diff(sizes // TEXT_CHARS, prepend=-1))  # texts of about 8 MB at once
+                for a, z in zip(cuts, [*cuts[1:], len(sizes)], strict=True):
+                    for x in encode(b["text"][a:z]):
+                        counts.append(len(x) // len(end) + 1)
+                        yield x
+                        yield end
 
         shared = SharedFiles(folder)
         with tempfile.TemporaryFile() as spill:  # this task's own scratch; the shared file is written at the end
-            _sequences(chunks(), seq_len, pa.PythonFile(spill, "w"), flush)
+            _sequences(chunks(), encode.kind, seq_len, pa.PythonFile(spill, "w"), flush)
             if not ids:
                 return
             spill.seek(0, os.SEEK_SET)
@@ -178,7 +250,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                     for j in range(tokens.num_record_batches):
                         batch = tokens.get_batch(j)
                         ids = batch["ids"].flatten().to_numpy()
-                        ids = ids[: int(batch["mask"].flatten().to_numpy().sum())]  # only the end is masked
+                        ids = ids[: batch["mask"].flatten().true_count]  # only the end is masked
                         view, p = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), 0
                         while p < len(ids):
                             take = min(left[k], len(ids) - p)

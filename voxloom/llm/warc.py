@@ -104,7 +104,10 @@ def fit_dictionary(pages: DataFrame, *, sample: int = 512, sample_bytes: int = 8
     """A dictionary from at most ``sample`` pages; empty where they are too few to fit one."""
     import zstandard
 
-    rows = pages.filter(F.col("html").isNotNull()).select(F.substring("html", 1, sample_bytes).alias("h"), F.xxhash64("page_id").alias("k")).orderBy("k").limit(sample).collect()
+    pages = pages.filter("html is not null").withColumn("k", F.xxhash64("page_id"))
+    most = pages.select("k").orderBy("k").limit(sample).agg(F.max("k")).first()[0]
+    rows = pages.filter(F.col("k") <= F.lit(most)).select(F.substring("html", 1, sample_bytes).alias("h"), "k").limit(2 * sample).collect()
+    rows = sorted(rows, key=lambda r: (r["k"], r["h"]))[:sample]
     texts = [r["h"].encode() for r in rows if r["h"]]
     if len(texts) < 16 or sum(map(len, texts)) < 10 * dict_bytes:
         return b""
