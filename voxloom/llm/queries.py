@@ -21,6 +21,12 @@ def op3_simhash(spark, sf_dir):
     return simhash_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark, sf_dir):
+    from .html_text import extract_text
+
+    return extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op6_mix_sources(spark, sf_dir):
     from .mixing import mix
 
@@ -52,7 +58,7 @@ def op10_quality(spark, sf_dir):
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_simhash, op6_mix_sources, op7_warc, op8_line_dedup, op9_token_files, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_simhash, op5_html_text, op6_mix_sources, op7_warc, op8_line_dedup, op9_token_files, op10_quality)}
 
 #: A-Z to a-z, as SQL.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
