@@ -38,20 +38,20 @@ def site(n):
     rows = []
     for i in range(n):
         body = "\n".join(f"<p>{prose()}</p>" for _ in range(rng.randint(1, 4)))
-        rows.append((i, "http://u@Host.example/a", f"<body><div class=c1><p>Same words on every page</p><p>always</p></div><div class='c2'>{body}</div><div class=c3>Terms apply</div></body>"))
+        rows.append((i, "http://u@Host.example/a", f"<body><div class=top><p>Same words on every page</p><p>always</p></div><div class='text'>{body}</div><div class=end>Terms apply</div></body>"))
     return rows
 
 
 @pytest.mark.parametrize("broadcast_rows", [50_000, 0])
 def test_style_tree_removes_what_every_page_has(spark, broadcast_rows):
     rows = site(12)
-    other = [(100, "http://other/x", "<div class=c1><p>Same words on every page</p></div>"), (101, None, None), (0, *rows[0][1:])]
+    other = [(100, "http://other/x", "<div class=top><p>Same words on every page</p></div>"), (101, None, None), (0, *rows[0][1:])]
     df = spark.createDataFrame([(*r, 7) for r in rows + other], "page_id long, url string, html string, low int").repartition(3)
     got = {}
     for r in h.extract_text(df, broadcast_rows=broadcast_rows).collect():
         got.setdefault(r["page_id"], []).append(r["text"])
         assert r["n_chars"] == len(r["text"])
-    want = {i: "\n".join(x[3:-4] for x in p.split("<div class='c2'>")[1].split("</div>")[0].split("\n")) for i, _, p in rows}
+    want = {i: "\n".join(x[3:-4] for x in p.split("<div class='text'>")[1].split("</div>")[0].split("\n")) for i, _, p in rows}
     assert all(got[i] == [t] for i, t in want.items() if i) and got[0] == [want[0]] * 2
     assert got[100] == ["Same words on every page"] and got[101] == [""]
     assert h.extract_text(df.limit(0)).count() == 0
