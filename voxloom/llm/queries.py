@@ -21,6 +21,12 @@ def op3_simhash(spark, sf_dir):
     return simhash_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark, sf_dir):
+    from .neighbours import search_all
+
+    return search_all(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_html_text(spark, sf_dir):
     from .html_text import extract_text
 
@@ -58,7 +64,7 @@ def op10_quality(spark, sf_dir):
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_simhash, op5_html_text, op6_mix_sources, op7_warc, op8_line_dedup, op9_token_files, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_simhash, op4_neighbours, op5_html_text, op6_mix_sources, op7_warc, op8_line_dedup, op9_token_files, op10_quality)}
 
 #: A-Z to a-z, as SQL.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -90,6 +96,21 @@ by_doc AS (
 SELECT docs.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hit ON docs.doc_id = hit.doc_id LEFT JOIN by_doc ON docs.doc_id = by_doc.doc_id
+""",
+    "op4_neighbours": """
+WITH v AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+fine AS (
+  SELECT vec_id, e FROM v
+  WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+sized AS (
+  SELECT * FROM fine WHERE len(e) = (SELECT len(e) FROM fine GROUP BY len(e) ORDER BY count(*) DESC, len(e) LIMIT 1)),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM sized AS q JOIN sized AS c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """,
     "op7_warc": """
 WITH keyed AS (
