@@ -15,6 +15,12 @@ def op1_decontaminate(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_repeats(spark, sf_dir):
+    from .repeats import repeat_digest
+
+    return repeat_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark, sf_dir):
     from .simhash import simhash_groups
 
@@ -64,7 +70,7 @@ def op10_quality(spark, sf_dir):
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_simhash, op4_neighbours, op5_html_text, op6_mix_sources, op7_warc, op8_line_dedup, op9_token_files, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_repeats, op3_simhash, op4_neighbours, op5_html_text, op6_mix_sources, op7_warc, op8_line_dedup, op9_token_files, op10_quality)}
 
 #: A-Z to a-z, as SQL.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -96,6 +102,29 @@ by_doc AS (
 SELECT docs.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hit ON docs.doc_id = hit.doc_id LEFT JOIN by_doc ON docs.doc_id = by_doc.doc_id
+""",
+    "op2_repeats": """
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+wins AS (
+  SELECT doc_id, i, md5(b[i:i + 399]) AS h
+  FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS i FROM docs WHERE octet_length(b) >= 400)),
+twice AS (SELECT h FROM wins GROUP BY h HAVING count(*) > 1),
+starts AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, TRUE) AS fresh
+  FROM wins WHERE h IN (SELECT h FROM twice)),
+runs AS (
+  SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi
+  FROM (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM starts) GROUP BY doc_id, k),
+gaps AS (
+  SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 1) AS before FROM runs),
+pieces AS (
+  SELECT gaps.doc_id, lo, hex(b[before:lo - 1]) AS piece, hi - lo AS n FROM gaps JOIN docs USING (doc_id)
+  UNION ALL
+  SELECT docs.doc_id, octet_length(b) + 2, hex(b[coalesce(last_hi, 1):octet_length(b)]), 0
+  FROM docs LEFT JOIN (SELECT doc_id, max(hi) AS last_hi FROM runs GROUP BY doc_id) USING (doc_id))
+SELECT doc_id, any_value(octet_length(b))::BIGINT AS n_bytes, sum(n)::BIGINT AS n_removed, count(*) FILTER (n > 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(string_agg(piece, '' ORDER BY lo), ''))) AS kept_sha256
+FROM pieces JOIN docs USING (doc_id) GROUP BY doc_id
 """,
     "op4_neighbours": """
 WITH v AS (

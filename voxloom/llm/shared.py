@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -44,6 +45,11 @@ class Workspace:
         df.write.partitionBy(*partition_by).parquet(to)
         return self.spark.read.schema(df.schema).parquet(to)
 
+    def free(self) -> None:
+        """Let Spark drop the shuffle files of steps that have been kept."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def clear(self) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
