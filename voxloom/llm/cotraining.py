@@ -25,6 +25,8 @@ from operator import eq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import worker
+
 PAIRS, SOURCES, LANGS = 512, 32, 8
 #: Features count up to so many standard deviations, lest a short text's odd profile decides alone.
 FAR = 4.0
@@ -178,7 +180,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 5000,
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["y"], pa.array([x.astype(np.float16).tobytes() for x in _matrix(b)], pa.binary())], ["doc_id", "y", "x"])
 
-    rows = docs.select(*_columns(docs)).join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, y int, x binary").toArrow()  # samples' vectors only
+    rows = docs.select(*_columns(docs)).join(F.broadcast(ids), "doc_id").mapInArrow(worker(run), "doc_id long, y int, x binary").toArrow()  # samples' vectors only
     if not rows.num_rows:
         return None
     rows = rows.sort_by("doc_id")
@@ -203,7 +205,7 @@ def quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, model
                 p = model(_matrix(part)) if model else [np.ones(part.num_rows)] * 3
                 yield pa.RecordBatch.from_arrays([part["doc_id"], *[pa.array(np.round(x, 6)) for x in p], pa.array(np.round(p[2], 6) >= threshold)], ["doc_id", "p_text", "p_meta", "score", "keep"])
 
-    return docs.select(*_columns(docs)).mapInArrow(run, "doc_id long, p_text double, p_meta double, score double, keep boolean")
+    return docs.select(*_columns(docs)).mapInArrow(worker(run), "doc_id long, p_text double, p_meta double, score double, keep boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, model: Model | None = None, **how) -> DataFrame:
@@ -225,4 +227,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, mod
             if keep:
                 yield b.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(worker(run), docs.schema)

@@ -27,7 +27,7 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, worker
 
 #: HTML's elements by what they mean here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -183,7 +183,7 @@ def style_counts(pages: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(list(zip(*rows, strict=True))[1:], kinds, strict=True)], schema=kinds)
 
-    rows = pages.select("url", "html").mapInArrow(run, "host string, node long, kind int, feature long")
+    rows = pages.select("url", "html").mapInArrow(worker(run), "host string, node long, kind int, feature long")
     return rows.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("n"))
 
 
@@ -234,4 +234,4 @@ def extract_text(pages: DataFrame, *, threshold: float = 0.4, min_pages: int = 4
             texts = [main_text(page, frozenset(x or ())) for page, x in zip(b["html"].to_pylist(), low, strict=True)]
             yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "low").mapInArrow(worker(run), "page_id long, url string, text string, n_chars long")

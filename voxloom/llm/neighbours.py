@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, worker
 
 
 def k_means(x, k: int, rounds: int = 10):
@@ -165,7 +165,7 @@ def search_all(vectors: DataFrame, *, k: int = 20, every: int = 20, sample: int
             own = [nearest(part, c) if len(part) else np.zeros(0, int) for part, c in zip((x[:, : d // 2], x[:, d // 2 :]), books, strict=True)]
             yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array([v.tobytes() for v in x], pa.binary()), *[pa.array(o.astype(np.int32)) for o in own]], ["vec_id", "v", "c1", "c2"])
 
-    coded = work.keep(rows.mapInArrow(assign, "vec_id long, v binary, c1 int, c2 int"), "coded")
+    coded = work.keep(rows.mapInArrow(worker(assign), "vec_id long, v binary, c1 int, c2 int"), "coded")
     shard_rows, block_rows = min(131_072, max(8192, n // 16)), min(32_768, max(1024, n_queries // 4))
     plan, shard, room = [], 0, shard_rows
     for c1, c2, count in sorted(tuple(r) for r in coded.groupBy("c1", "c2").count().collect()):  # one row for each cell

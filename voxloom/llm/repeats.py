@@ -29,7 +29,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, doc_id, null_id
+from .shared import Workspace, doc_id, null_id, worker
 
 SIZE, GRAM, WORD = 400, 32, 8
 #: Bytes of text that are looked at together; anchors' places in them take 24 bits.
@@ -159,7 +159,7 @@ def find_anchors(rows: DataFrame, size: int, gram: int) -> DataFrame:
                 for p in parts:
                     yield pa.RecordBatch.from_arrays([pa.array(v).cast(k.type) for v, k in zip(p, kinds, strict=True)], schema=kinds)
 
-    return rows.mapInArrow(run, "a long, c long, id long, lo long, size int, rel int, n int")
+    return rows.mapInArrow(worker(run), "a long, c long, id long, lo long, size int, rel int, n int")
 
 
 def _contexts(rows: DataFrame, need: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def _contexts(rows: DataFrame, need: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v, k.type) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
 
     need = need.groupBy("id").agg(F.collect_list(F.struct("a", "lo", "size", "rel", "judge")).alias("need"))
-    return rows.join(need, "id").mapInArrow(run, "a long, id long, lo long, rel int, judge boolean, s binary")
+    return rows.join(need, "id").mapInArrow(worker(run), "a long, id long, lo long, rel int, judge boolean, s binary")
 
 
 def repeated_windows(strings: list[bytes], rel, size: int):
@@ -253,7 +253,7 @@ def _judge(contexts: DataFrame, size: int, batch: int) -> DataFrame:
         if held:
             yield settle(held)
 
-    return contexts.repartition("a").sortWithinPartitions("a").mapInArrow(run, "id long, lo long, hi long")
+    return contexts.repartition("a").sortWithinPartitions("a").mapInArrow(worker(run), "id long, lo long, hi long")
 
 
 def _judge_hot(contexts: DataFrame, size: int) -> DataFrame:
@@ -269,7 +269,7 @@ def _judge_hot(contexts: DataFrame, size: int) -> DataFrame:
                 n = len(h)
                 yield pa.RecordBatch.from_arrays([pa.array([(x >> 64) - 2**63 for x in h]), pa.array([x % 2**64 - 2**63 for x in h]), pa.array([i] * n, pa.int64()), pa.array(range(lo, lo + n), pa.int64())], ["h1", "h2", "id", "lo"])
 
-    rows = contexts.mapInArrow(run, "h1 long, h2 long, id long, lo long")
+    rows = contexts.mapInArrow(worker(run), "h1 long, h2 long, id long, lo long")
     twice = rows.groupBy("h1", "h2").count().filter("count > 1").drop("count")
     return rows.join(twice, ["h1", "h2"]).select("id", "lo", (F.col("lo") + size).alias("hi"))
 
@@ -333,7 +333,7 @@ def without_repeats(docs: DataFrame, *, size: int = SIZE, **how) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sizes, pa.int64()), pa.array(found, pair), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     out = rows.join(spans, "id", "left").select("doc_id", "text", "spans")
-    return out.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<lo: long, hi: long>>, kept binary").withColumn("doc_id", null_id(F.col("doc_id")))
+    return out.mapInArrow(worker(run), "doc_id long, n_bytes long, spans array<struct<lo: long, hi: long>>, kept binary").withColumn("doc_id", null_id(F.col("doc_id")))
 
 
 def repeat_digest(docs: DataFrame, **how) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import os
 import shutil
@@ -97,6 +98,32 @@ class SharedFiles:
         return pa.memory_map(f"{self.root}/{name}") if self.local else self.fs.open_input_file(f"{self.root}/{name}")
 
 
+def worker(run):
+    """``run``, a function for ``mapInArrow``; when it ends, memory that is free goes back to the system.
+
+    Python workers outlive their tasks, and allocators keep what they had at their busiest.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the GNU library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else. ``lower`` does just that on text without wider characters, and faster."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

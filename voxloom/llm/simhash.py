@@ -21,7 +21,7 @@ from itertools import accumulate, combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, doc_id, null_id
+from .shared import Workspace, doc_id, null_id, worker
 
 SEED, RADIUS, WORDS = 42, 2, 3
 #: Buckets of at most so many are compared place by place.
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, size: int = WORDS) -> DataFrame:
             fps = np.array([fingerprint(t, size) for t in b["text"].to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(fps)], ["id", "fp"])
 
-    return docs.select(doc_id().alias("id"), "text").mapInArrow(run, "id long, fp long")
+    return docs.select(doc_id().alias("id"), "text").mapInArrow(worker(run), "id long, fp long")
 
 
 def linked(fps, radius: int, planes: list[int]):
@@ -181,7 +181,7 @@ def bucket_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(worker(run), "u long, v long")
 
 
 def components(edges: DataFrame, work: Workspace) -> DataFrame:

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SharedFiles, Workspace, doc_id, null_id
+from .shared import SharedFiles, Workspace, doc_id, null_id, worker
 
 SEQ_LEN, END_ID = 2048, 0
 #: The public split pattern of this vocabulary, and text in which both regex engines agree on it.
@@ -37,7 +37,7 @@ BEYOND_PLAIN = r"[^\t\n\r -~¡-¬®-ɏ]"
 AROUND_SPACE = ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r")
 #: Stands for the space in the names of byte-level ids.
 SPACE_MARK = "Ġ"
-CACHED, CACHED_CHARS, TEXT_CHARS = 200_000, 40, 1 << 23
+CACHED, CACHED_CHARS, TEXT_CHARS = 150_000, 40, 1 << 22
 
 
 class Encoder:
@@ -199,7 +199,7 @@ def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str | None = N
             for b in batches:
                 ids.extend(b["doc_id"].to_pylist())
                 sizes = np.cumsum(pc.utf8_length(b["text"]).to_numpy(zero_copy_only=False))
-                cuts = np.flatnonzero(np.diff(sizes // TEXT_CHARS, prepend=-1))  # texts of about 8 MB at once
+                cuts = np.flatnonzero(np.diff(sizes // TEXT_CHARS, prepend=-1))  # texts of about 4 MB at once
                 for a, z in zip(cuts, [*cuts[1:], len(sizes)], strict=True):
                     for x in encode(b["text"][a:z]):
                         counts.append(len(x) // len(end) + 1)
@@ -223,7 +223,7 @@ def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str | None = N
 
     rows = docs.select(doc_id().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    return rows.mapInArrow(write, "part long, name string, index string, n_docs long, n_tokens long")
+    return rows.mapInArrow(worker(write), "part long, name string, index string, n_docs long, n_tokens long")
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
@@ -265,7 +265,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    out = files.select("part", "name", "index").repartition(max(1, len(totals)), "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    out = files.select("part", "name", "index").repartition(max(1, len(totals)), "part").mapInArrow(worker(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
     return out.withColumn("doc_id", null_id(F.col("doc_id")))
 
 

@@ -24,7 +24,7 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SharedFiles, Workspace
+from .shared import SharedFiles, Workspace, worker
 
 #: Fixed values of the formats: magic numbers of a skippable frame that holds a dictionary and of a frame.
 DICT_MAGIC, FRAME_MAGIC, VERSION = 0x184D2A5D, 0xFD2FB528, b"WARC/1.1"
@@ -162,7 +162,7 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, file_by
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], ["name", "n_records", "n_bytes"])
 
-    return rows.select("page_id", "url", "html", "k", "refers_to").mapInArrow(write, "name string, n_records long, n_bytes long")
+    return rows.select("page_id", "url", "html", "k", "refers_to").mapInArrow(worker(write), "name string, n_records long, n_bytes long")
 
 
 def read_archives(files: DataFrame, folder: str, n_tasks: int | None = None) -> DataFrame:
@@ -189,7 +189,7 @@ def read_archives(files: DataFrame, folder: str, n_tasks: int | None = None) ->
 
     files = files.select("name", "n_records")
     spread = files.repartition(n_tasks or files.sparkSession.sparkContext.defaultParallelism * 2)
-    return spread.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return spread.mapInArrow(worker(read), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def warc_round_trip(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
