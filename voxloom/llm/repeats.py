@@ -274,7 +274,7 @@ def _judge_hot(contexts: DataFrame, size: int) -> DataFrame:
     return rows.join(twice, ["h1", "h2"]).select("id", "lo", (F.col("lo") + size).alias("hi"))
 
 
-def repeated_spans(rows: DataFrame, work: Workspace, *, size: int = SIZE, gram: int = GRAM, batch: int = 1000, max_group: int = 65_536) -> DataFrame:
+def repeated_spans(rows: DataFrame, work: Workspace, *, size: int = SIZE, gram: int = GRAM, batch: int = 1000, max_group: int = 4096) -> DataFrame:
     """``id, lo, hi`` (may overlap) in ``rows`` of unique ``id`` and not-null ``text``."""
     if size % WORD or size < 2 * gram:
         raise ValueError(f"size must be a multiple of {WORD} and twice a gram")
