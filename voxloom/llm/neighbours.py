@@ -166,7 +166,7 @@ def search_all(vectors: DataFrame, *, k: int = 20, every: int = 20, sample: int
             yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array([v.tobytes() for v in x], pa.binary()), *[pa.array(o.astype(np.int32)) for o in own]], ["vec_id", "v", "c1", "c2"])
 
     coded = work.keep(rows.mapInArrow(worker(assign), "vec_id long, v binary, c1 int, c2 int"), "coded")
-    shard_rows, block_rows = min(131_072, max(8192, n // 16)), min(32_768, max(1024, n_queries // 4))
+    shard_rows, block_rows = min(131_072, max(2048, n // 16)), min(32_768, max(256, n_queries // 4))
     plan, shard, room = [], 0, shard_rows
     for c1, c2, count in sorted(tuple(r) for r in coded.groupBy("c1", "c2").count().collect()):  # one row for each cell
         pieces = -(-count // shard_rows)
