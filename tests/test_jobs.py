@@ -166,3 +166,18 @@ def test_events_as_a_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("act").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(str, spark.table("act").collect())) == sorted(map(str, folder.activity_windows(df).collect()))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from voxloom.__main__ import main
+
+    (tmp_path / "a.wav").write_bytes(wav(tone(300, 2, 16_000)))
+    common = [str(tmp_path), "--out-dir", str(tmp_path / "o"), "--model", "tiny"]
+    assert main([*common, "--dry-run", "--format", "srt,txt"]) == 0
+    assert capsys.readouterr().out.split("\n")[0] == f"{tmp_path}/a.wav -> {tmp_path}/o/a.srt"
+    assert main([*common, "--json"]) == 0
+    assert json.loads(capsys.readouterr().out)["model"] == "stub"
+    assert main([*common, "--json"]) == 0 and "1 skipped" in capsys.readouterr().err
+    assert main(["/nowhere/at/all"]) == 14 and main([str(tmp_path), "--format", "pdf"]) == 2
+    assert main(["models", "list", "--cache", str(tmp_path)]) == 0 and "large-v3-turbo" in capsys.readouterr().out
+    assert main(["models", "pull", "tiny", "--cache", str(tmp_path), "--offline"]) == 11

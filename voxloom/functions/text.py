@@ -92,17 +92,23 @@ def human_size(size: Column) -> Column:
 def one_decimal_of_double(x: Column) -> Column:
     """A double with one decimal, rounded by its exact value, ties to even: ten times it is the sum of two exact
     products, and what that sum rounds away decides where it looks like a tie."""
-    big, small = x * 8, x * 2
-    ten = big + small
-    lost, low = small - (ten - big), F.floor(ten)
-    tie = (ten - low) == 0.5
-    tenths = F.when(tie & (lost > 0), low + 1).when(tie & (lost < 0), low).otherwise(F.rint(ten)).cast("long")
-    return F.concat(F.call_function("div", tenths, F.lit(10)).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+    def tenths(r):
+        big, small = r * 8, r * 2
+        return F.struct((big + small).alias("ten"), (small - (big + small - big)).alias("lost"))
+
+    def text(t):
+        ten, low = t["ten"], F.floor(t["ten"])
+        tie = (ten - low) == 0.5
+        n = F.when(tie & (t["lost"] > 0), low + 1).when(tie & (t["lost"] < 0), low).otherwise(F.rint(ten)).cast("long")
+        return F.concat(F.call_function("div", n, F.lit(10)).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+    return F.transform(F.transform(F.array(x), tenths), text)[0]  # the arrays bind values that are used many times
 
 
 def realtime_factor(audio: Column, wall: Column) -> Column:
     """``x.y×RT``, null where no time has passed."""
-    return F.when(wall > 0, F.concat(one_decimal_of_double(audio / F.when(wall > 0, wall)), F.lit("×RT")))
+    return F.concat(one_decimal_of_double(audio / F.when(wall > 0, wall)), F.lit("×RT"))
 
 
 def sha256_matches(content: Column, expected: Column) -> Column:

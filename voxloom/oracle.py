@@ -142,7 +142,7 @@ wd AS (
   SELECT file_id, seg_no, k AS word_no, w[k + 1] AS word, s + (e - s) * k // len(w) AS s, s + (e - s) * (k + 1) // len(w) AS e, seg_no * 1000000 + k AS key
   FROM (SELECT *, unnest(range(0, len(w))) AS k FROM parts)),
 {_DOMINANT.format(key='key', seg='wd')}
-SELECT wd.file_id, wd.seg_no, wd.word_no, wd.word, best.speaker FROM wd LEFT JOIN best ON wd.file_id = best.file_id AND wd.key = best.key""",
+SELECT wd.file_id, wd.seg_no, wd.word_no::INT AS word_no, wd.word, best.speaker FROM wd LEFT JOIN best ON wd.file_id = best.file_id AND wd.key = best.key""",
     "sanitize_timestamps": """WITH n AS (
   SELECT user_id AS file_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seg_no, round(value * 10)::BIGINT AS v FROM events),
 seg AS (SELECT file_id, seg_no, seg_no * 1000 - v AS s, seg_no * 1000 - v + 2500 - v % 4000 AS e FROM n),

@@ -88,7 +88,7 @@ def _labels(spark, sf_dir) -> DataFrame:
 @query
 def segments_from_conversations(spark, sf_dir):
     rows = _segments(spark, sf_dir).withColumn("text", tx.unicode_trim(F.col("text"))).filter("text <> ''")
-    return rows.select("file_id", "seg_no", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), F.length("text").alias("n_chars"))
+    return rows.select("file_id", "seg_no", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), F.length("text").cast("long").alias("n_chars"))
 
 
 @query
