@@ -25,7 +25,7 @@ from operator import eq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import worker
+from .shared import release, worker
 
 PAIRS, SOURCES, LANGS = 512, 32, 8
 #: Features count up to so many standard deviations, lest a short text's odd profile decides alone.
@@ -72,7 +72,7 @@ def _fit(x, y, ridge: float = 1.0, rounds: int = 12):
     """Weights of a logistic model with a constant in front, by Newton steps; classes weigh the same."""
     import numpy as np
 
-    x = np.c_[np.ones(len(x)), x]
+    x = np.c_[np.ones(len(x)), x].astype(np.float64)
     w, share = np.zeros(x.shape[1]), np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-6
@@ -120,8 +120,8 @@ def co_train(x, y, pool, *, rounds: int = 4, sure: float = 0.97, per_round: int
     """``x, y``: labelled features and 0/1; ``pool``: unlabelled features. A fifth of the labelled is held out."""
     import numpy as np
 
-    x, pool = x.astype(np.float64), pool.astype(np.float64).reshape(-1, META.stop)
-    mean, scale = x.mean(0), x.std(0) + 1e-3
+    pool = pool.reshape(-1, META.stop)
+    mean, scale = x.mean(0, dtype=np.float64).astype(np.float32), (x.std(0, dtype=np.float64) + 1e-3).astype(np.float32)
     z, free = (np.clip((v - mean) / scale, -FAR, FAR) for v in (x, pool))
     order = np.random.default_rng(7).permutation(len(y))
     held = np.zeros(len(y), bool)
@@ -188,7 +188,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 5000,
     y = np.array([-1 if v is None else v for v in rows["y"].to_pylist()])
     if min((y == 1).sum(), (y == 0).sum()) < 10:
         return None
-    return co_train(x[y >= 0], (y[y >= 0] > 0).astype(float), x[y < 0][: max_unlabelled], **how)
+    model = co_train(x[y >= 0], (y[y >= 0] > 0).astype(float), x[y < 0][:max_unlabelled], **how)
+    del rows, x
+    release()
+    return model
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, model: Model | None = None, **how) -> DataFrame:
