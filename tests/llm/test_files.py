@@ -38,6 +38,11 @@ def test_token_output(docs, rows, spark):
     assert [r["doc_id"] for r in sorted(out, key=lambda r: r["start"])] == [i for i, _ in order]
 
 
+def source_range(source):
+    whole = source.read_buffer(source.size()) if source.seek(0) == 0 else None
+    return whole.address, whole.address + whole.size
+
+
 def test_sequences_by_number_without_a_copy(spark, docs, no_docs):
     work = Workspace(spark, "t")
     folder = work.folder("f")
@@ -49,6 +54,15 @@ def test_sequences_by_number_without_a_copy(spark, docs, no_docs):
         assert table["ids"].type.list_size == table["mask"].type.list_size == 32
         masks = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table["mask"].chunks])
         assert masks.sum() == f["n_tokens"] and len(masks) % 32 == 0 and (np.diff(masks.astype(int)) <= 0).all()
+        file = token_files.TokenFile(source)
+        assert len(file) == table.num_rows
+        for k in {0, len(file) // 2, len(file) - 1}:
+            ids, mask = file[k]
+            assert ids.to_pylist() == table["ids"][k].as_py() and mask.to_pylist() == table["mask"][k].as_py()
+            start, end = source_range(source)
+            assert start <= ids.buffers()[1].address < end
+        with pytest.raises(IndexError):
+            file[len(file)]
     assert token_files.token_output(no_docs).count() == 0
 
 

@@ -1,5 +1,8 @@
+import html
 import math
+import os
 import random
+import re
 
 import pytest
 
@@ -73,3 +76,16 @@ def test_importance_against_a_plain_count(spark):
             if 0.1 * look + 0.9 * content < 0.4:
                 want.add(node)
     assert low == want and want
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_tables_pages_against_a_pattern(spark):
+    df = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in h.extract_text(df).collect()}
+    for r in df.collect():
+        article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        lines = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article))
+        assert got[r["page_id"]] == "\n".join(x for x in lines if x)

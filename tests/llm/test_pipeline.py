@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,3 +43,28 @@ def test_each_stage_does_what_its_operator_says(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() == kept[3].count()
     assert out.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == out.agg(F.sum("n_tokens")).first()[0]
+
+
+KINDS = "doc_id long, text string, lang string, source string, n_chars long, score string, block int, th long"
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_hostile_and_empty_tables(spark, rows, tmp_path, empty):
+    rng = random.Random(1)
+    junk = [(500 + i, " ".join(["AB!!"] * rng.randint(9, 40)), "x", "web", 1, None, 0, 0) for i in range(30)]
+    plain = [(i, t, rng.choice(["en", None]), rng.choice(["web", "a", None]), rng.choice([None, 5]), "s", 1, 2) for i, t in rows]
+    labels = [(i, 1, 0) for i in range(0, 40)] + [(500 + i, 0, 0) for i in range(15)] + [(None, None, None), (3, None, 1)]
+    bench = [(1, rows[2][1]), (2, None), (None, "x"), (3, "")]
+    for name, data, kinds in (("documents", plain + junk, KINDS), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", bench, "item_id long, text string")):
+        spark.createDataFrame([] if empty else data, kinds).repartition(2).write.parquet(f"{tmp_path}/{name}.parquet")
+    work, now = Workspace(spark, "t"), read_table(spark, str(tmp_path), "documents")
+    columns, sizes = now.columns, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = work.keep(stage(spark, now, str(tmp_path)), name)
+        assert now.columns == columns
+        sizes.append(now.count())
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(out) == sizes[3] and (sizes == [0] * 4) == empty
+    if not empty:
+        assert sizes[0] < len(plain + junk) and sizes[1] < sizes[0] and sizes[2] < sizes[1] <= sizes[3] + 5
+        assert 2 not in {r["doc_id"] for r in out}

@@ -35,6 +35,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_root(spark)}/voxloom/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        atexit.register(self._clear_at_exit)  # results are read lazily, so not before
 
     def folder(self, name: str) -> str:
         self.n += 1
@@ -51,7 +52,12 @@ class Workspace:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
+    def _clear_at_exit(self) -> None:
+        if self.path.startswith(("/", "file:")):
+            shutil.rmtree(SharedFiles(self.path).root, ignore_errors=True)
+
     def clear(self) -> None:
+        """Remove the tables now; in stores that only Spark reaches nothing else does."""
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -179,6 +179,31 @@ def _sequences(chunks: Iterator[bytes], dtype, seq_len: int, sink, flush: int) -
             put(ids, mask)
 
 
+class TokenFile:
+    """Sequences of one file by number: ``(ids, mask)`` as views of the file's memory, nothing is copied."""
+
+    def __init__(self, source):
+        import numpy as np
+        import pyarrow as pa
+
+        reader = pa.ipc.open_file(source)
+        self.batches = [reader.get_batch(k) for k in range(reader.num_record_batches)]
+        self.ends = np.cumsum([b.num_rows for b in self.batches])
+
+    def __len__(self) -> int:
+        return int(self.ends[-1]) if len(self.ends) else 0
+
+    def __getitem__(self, k: int):
+        import numpy as np
+
+        if not 0 <= k < len(self):
+            raise IndexError(k)
+        at = int(np.searchsorted(self.ends, k, "right"))
+        batch, row = self.batches[at], k - (int(self.ends[at - 1]) if at else 0)
+        size = batch["ids"].type.list_size
+        return (batch[c].values.slice((batch[c].offset + row) * size, size) for c in ("ids", "mask"))
+
+
 def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str | None = None, seq_len: int = SEQ_LEN, end_id: int = END_ID, flush: int = 1 << 18) -> DataFrame:
     """Writes the files; ``part, name, index, n_docs, n_tokens`` of each. Run its plan once (``keep`` does)."""
 
