@@ -139,7 +139,7 @@ def test_sanitized_against_a_fold(spark):
 def test_raw_segments_and_words(spark):
     raw = spark.createDataFrame([(0.6, "  kept  ", 0, 150), (0.7, "gone", 0, 1), (0.0, "   ", 0, 1), (0.1, " x\n", 5, 7)], "no_speech float, text string, start_cs long, end_cs long")
     assert [tuple(r) for r in words.filter_segments(raw).collect()] == [("kept", 0.0, 1.5), ("x", 0.05, 0.07)]
-    tokens = ["[_BEG_]", "Hel", "lo", " wor", "ld", " ", ".", " [x]", "[TT_5]"]
+    tokens = ["[_BEG_]", "Hel", "lo", " wor", "ld", " ", ".\n", " [x]", "[TT_5]"]
     df = spark.createDataFrame([(0, 0, i, t, 10 * i, 10 * i + 9) for i, t in enumerate(tokens)], "file_id long, seg_no int, tok_no int, text string, t0_cs long, t1_cs long")
     got = sorted(words.group_words(df).collect(), key=lambda r: r["word_no"])
-    assert [(r["text"], r["start"], r["end"]) for r in got] == [("Hello", 0.1, 0.29), ("world.", 0.3, 0.69), ("[x]", 0.7, 0.79)]
+    assert [(r["text"], r["start"], r["end"]) for r in got] == [("Hello", 0.1, 0.29), ("world.\n", 0.3, 0.69), ("[x]", 0.7, 0.79)]

@@ -23,4 +23,4 @@ def group_words(tokens: DataFrame, *, by: tuple[str, ...] = ("file_id", "seg_no"
     kept = kept.withColumn("__opens", opens).withColumn("word_no", F.sum("__opens").over(line.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(c).alias("x")))), lambda x: x["x"])
     words = kept.groupBy(*by, "word_no").agg(F.array_join(ordered("text"), "").alias("text"), F.min_by("t0_cs", order).alias("t0"), F.max_by("t1_cs", order).alias("t1"))
-    return words.select(*by, F.col("word_no").cast("int").alias("word_no"), (F.col("t0") / 100).alias("start"), (F.col("t1") / 100).alias("end"), unicode_trim(F.col("text")).alias("text"))
+    return words.select(*by, F.col("word_no").cast("int").alias("word_no"), (F.col("t0") / 100).alias("start"), (F.col("t1") / 100).alias("end"), F.regexp_replace("text", r"(?U)^\s+", "").alias("text"))

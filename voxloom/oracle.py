@@ -167,7 +167,7 @@ kept AS (SELECT * FROM m WHERE NOT (starts_with(text, '[') AND ends_with(text, '
 o AS (SELECT *, CASE WHEN starts_with(text, ' ') OR row_number() OVER (PARTITION BY file_id, seg_no ORDER BY k) = 1 THEN 1 ELSE 0 END AS opens FROM kept),
 w AS (SELECT *, (sum(opens) OVER (PARTITION BY file_id, seg_no ORDER BY k) - 1)::INT AS word_no FROM o)
 SELECT file_id, seg_no, word_no, min(k * 10)::DOUBLE / 100 AS start, max(k * 10 + 8)::DOUBLE / 100 AS "end",
-       regexp_replace(string_agg(text, '' ORDER BY k), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS text
+       regexp_replace(string_agg(text, '' ORDER BY k), '^[\\s\\p{Z}]+', '') AS text
 FROM w GROUP BY file_id, seg_no, word_no""",
     "normalize_language": """WITH a AS (SELECT doc_id, lang, [upper(lang), ' ', 'AUTO', NULL, lang || ' '][doc_id % 5 + 1] AS asked FROM documents),
 n AS (SELECT doc_id, lang, CASE WHEN trim(asked) <> '' THEN lower(asked) END AS normalized FROM a)
