@@ -1,6 +1,6 @@
 """Audio files to 16 kHz mono, as rows: samples or an error, never an exception.
 
-The built-in decoder reads WAV (PCM of 8 to 32 bits, floats). Other formats have no decoder in Python here: they
+The built-in decoders read WAV (PCM of 8 to 32 bits, floats) and FLAC. Other formats have no decoder in Python here: they
 give code 10, or go through the external program where it is installed. Decoders are looked up by extension."""
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions.signal import MAX_SAMPLES, RATE, Resampler, TooLong, downmix
+from .flac import decode_flac
 
 AUDIO = "file_id long, path string, status string, samples array<float>, source_sample_rate int, source_channels int, duration double, error struct<code:int,message:string>"
 #: Format tags of a WAV header, and the object types and marker of the AAC variants that are refused.
@@ -111,7 +112,7 @@ def _missing(kind: str) -> Callable:
 
 
 #: Decoders by extension; a job may add its own.
-DECODERS: dict[str, Callable] = {"wav": decode_wav} | {k: _missing(k) for k in ("mp3", "flac", "ogg", "oga", "m4a", "mp4", "m4b")}
+DECODERS: dict[str, Callable] = {"wav": decode_wav, "flac": decode_flac} | {k: _missing(k) for k in ("mp3", "ogg", "oga", "m4a", "mp4", "m4b")}
 
 
 def float_stream(raw: bytes, ceiling: int = MAX_SAMPLES) -> np.ndarray:
