@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from voxloom.llm import column_bwt, repeats
@@ -93,3 +94,22 @@ def test_anchors_cover_each_window_once():
     found = repeats.anchors(buf, starts, ends, 400, 32)
     covered = Counter((d, o) for d, lo, n in zip(found["doc"].tolist(), found["lo"].tolist(), found["size"].tolist()) for o in range(lo, lo + n - 400 + 1))
     assert covered == Counter((d, starts[d] + o) for d, t in enumerate(texts) for o in range(len(t) - 399))
+
+
+@pytest.mark.parametrize("limit", [1, 700, 5000, 1 << 22])
+def test_pieces_of_long_texts_have_each_window_once(monkeypatch, limit):
+    rng = random.Random(3)
+    texts = [prose(rng, 500), "", "short", prose(rng, 60), "é" * 399, prose(rng, 2000), "x" * 400]
+    monkeypatch.setattr(repeats, "BUFFER", limit)
+    column = pa.array(["skipped", *texts])[1:]
+    seen = Counter()
+    for buf, row, starts, ends, base in repeats._pieces(column, 400):
+        x = repeats.anchors(buf, starts, ends, 400, 32)
+        for d, lo, n in zip(x["doc"].tolist(), x["lo"].tolist(), x["size"].tolist()):
+            text = texts[row[d]].encode()
+            for o in range(lo, lo + n - 399):
+                at = int(o - starts[d] + base[d])
+                assert buf[o : o + 400].tobytes() == text[at : at + 400]
+                seen[int(row[d]), at] += 1
+    assert seen == Counter((r, i) for r, t in enumerate(texts) for i in range(len(t.encode()) - 399))
+    assert not list(repeats._pieces(pa.array([], pa.string()), 400))

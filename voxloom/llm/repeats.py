@@ -88,6 +88,8 @@ def _pieces(column, size: int):
     overlaps the next by ``size - 1`` bytes, so each window is in one."""
     import numpy as np
 
+    if not len(column):
+        return
     offsets = np.frombuffer(column.buffers()[1], np.int64 if str(column.type).startswith("large") else np.int32)
     offsets = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
