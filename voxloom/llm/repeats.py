@@ -24,8 +24,6 @@ ignored. Spans can cut characters, so results are bytes.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
