@@ -235,6 +235,15 @@ SELECT a.folded, a.i AS first_input, b.i AS second_input, a.o AS first_output, b
   coalesce(sum(duration) FILTER (outcome = 'done'), 0) AS audio, coalesce(sum(wall) FILTER (outcome = 'done'), 0) AS wall FROM res""",
     "batch_exit_code": f"""WITH {_RESULTS}, b AS (SELECT name % 50 AS batch, count(*) FILTER (outcome = 'failed') AS failed, count(*) AS processed FROM res GROUP BY 1)
 SELECT batch, failed, processed, CASE WHEN failed > 0 THEN 20 WHEN batch % 2 = 0 AND processed < 320 THEN 20 ELSE 0 END AS exit_code FROM b""",
+    "file_outcomes": """WITH e AS (
+  SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'skip' WHEN event_id % 13 = 0 THEN 'failed' ELSE 'pcm' END AS status,
+         CASE WHEN event_id % 7 = 1 THEN 'run: ' || event_type END AS run, CASE WHEN event_id % 5 = 2 THEN 'speakers: ' || event_type END AS spk,
+         CASE WHEN event_id % 17 = 3 THEN 'write: ' || event_type END AS wr FROM events)
+SELECT event_id, CASE WHEN status = 'skip' THEN 'skipped' WHEN status = 'failed' OR coalesce(run, spk, wr) IS NOT NULL THEN 'failed' ELSE 'done' END AS outcome,
+       CASE WHEN status = 'pcm' THEN coalesce(run, wr, 'diarization failed: ' || spk || '; transcript saved without speakers') END AS reason FROM e""",
+    "report_lines": f"""WITH {_RESULTS} SELECT name, CASE outcome
+  WHEN 'done' THEN 'ok  [en] ' || printf('%.1f', duration) || 's in ' || printf('%.1f', wall) || 's (' || CASE WHEN wall > 0 THEN printf('%.1f', duration / wall) || '×RT' ELSE '—' END || ') → /out/' || name || '.srt'
+  WHEN 'skipped' THEN 'skip  up to date' ELSE 'fail  code ' || (name % 3) END AS line FROM res""",
     "realtime_factor": """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 3 THEN printf('%.1f', l_quantity / (l_linenumber * 8)::DOUBLE) || '×RT' END AS speed FROM lineitem""",
     "largest_fitting_model": f"""WITH {_MACHINES} SELECT p_partkey, coalesce(arg_min(model, rank) FILTER (rank IS NOT NULL AND need <= budget), 'tiny') AS model FROM need GROUP BY p_partkey""",
     "memory_guard": f"""WITH {_MACHINES} SELECT p_partkey, model, need, need > budget AS refused, greatest(greatest(budget - size - size // 2 - extra, 0) // 1073741824, 1) AS max_jobs FROM need""",

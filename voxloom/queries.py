@@ -433,6 +433,20 @@ def batch_exit_code(spark, sf_dir):
     return counts.select("batch", "failed", "processed", batch.exit_code(F.col("failed"), F.col("processed"), F.lit(320).cast("long"), F.col("batch") % 2 == 0).alias("exit_code"))
 
 
+@query
+def file_outcomes(spark, sf_dir):
+    pick = lambda n, k, text: F.when(F.col("event_id") % n == k, F.concat(F.lit(text), F.col("event_type")))
+    status = F.when(F.col("event_id") % 11 == 0, "skip").when(F.col("event_id") % 13 == 0, "failed").otherwise("pcm")
+    what, why = batch.outcome(status, pick(7, 1, "run: "), pick(5, 2, "speakers: "), pick(17, 3, "write: "))
+    return table(spark, sf_dir, "events").select("event_id", what.alias("outcome"), F.when(status == "pcm", why).alias("reason"))
+
+
+@query
+def report_lines(spark, sf_dir):
+    rows = _results(spark, sf_dir).withColumns({"language": F.lit("en"), "outputs": F.array(F.concat(F.lit("/out/"), F.col("name"), F.lit(".srt"))), "reason": F.concat(F.lit("code "), F.col("name") % 3)})
+    return batch.report_lines(rows)
+
+
 @query
 def realtime_factor(spark, sf_dir):
     audio, wall = F.col("l_quantity"), F.when(F.col("l_linenumber") == 3, 0.0).otherwise(F.col("l_linenumber").cast("double") * 8)
