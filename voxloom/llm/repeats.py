@@ -31,7 +31,7 @@ from .shared import Workspace, doc_id, null_id, worker
 
 SIZE, GRAM, WORD = 400, 32, 8
 #: Bytes of text that are looked at together; anchors' places in them take 24 bits.
-BUFFER = 1 << 22
+BUFFER = 1 << 20
 
 
 def _gram_hashes(buf, gram: int):
