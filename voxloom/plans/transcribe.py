@@ -14,6 +14,7 @@ from ..operators.outputs import first_collision, stale_inputs, write_files
 from ..operators.subtitles import render
 from ..operators.words import filter_segments, group_words
 from ..options import JobOptions
+from ..session import ship_package
 from ..sources.decode import decode_files
 from ..sources.discovery import discover, files_table
 from ..sources.models import DIARIZATION_RESIDENT, check_capabilities
@@ -78,6 +79,7 @@ def plan(options: JobOptions, *, ram: int | None = None, cores: int | None = Non
 def run(spark: SparkSession, options: JobOptions, transcriber, speakers=None, *, checkpoint=None, **machine) -> DataFrame:
     """Results by file: ``file_id, path, outcome, reason, language, duration, wall, outputs``."""
     steps = plan(options, **machine)
+    ship_package(spark)
     formats, keep = steps["formats"], checkpoint or (lambda df: df.cache())
     files = files_table(spark, steps["paths"])
     if clash := first_collision(files, formats, options.out_dir):

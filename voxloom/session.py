@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("voxloom")
@@ -11,5 +20,26 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
     return builder.config(map=settings).getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Once for each application, send this package to the Python workers, unless they start where it is on the path."""
+    context, home = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    path = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if context.master.startswith("local") and home in {Path(p).resolve() for p in path if p}:
+        return
+    if context.master.startswith("local[") and home == Path.cwd().resolve():
+        return
+    folder = tempfile.mkdtemp(prefix="voxloom-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/voxloom-package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted((home / "voxloom").rglob("*.py")):
+            z.write(p, p.relative_to(home))
+    context.addPyFile(archive)  # the driver serves it to executors as long as it runs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..session import ship_package
 from ..sources.decode import decode_files
 from ..sources.discovery import EXTENSIONS
 
@@ -31,6 +32,7 @@ def audio_stream(spark: SparkSession, folder: str, *, files_per_trigger: int = 6
 
 def decode_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, *, once: bool = True, **how) -> StreamingQuery:
     """Append decoded audio to Parquet at ``out``; ``once``: what is there now, then end."""
+    ship_package(spark)
     rows = decode_files(audio_stream(spark, folder, **how))
     writer = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
