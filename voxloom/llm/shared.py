@@ -14,6 +14,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a null document id inside the operators.
 NULL_ID = -(2**63)
@@ -33,6 +35,7 @@ class Workspace:
     """One run's tables in the shared folder. ``clear`` removes them once the result is no longer needed."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_package(spark)
         self.spark, self.path = spark, f"{shared_root(spark)}/voxloom/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
         atexit.register(self._clear_at_exit)  # results are read lazily, so not before
@@ -145,4 +148,5 @@ def null_id(c: Column) -> Column:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
