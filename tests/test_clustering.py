@@ -87,3 +87,31 @@ def test_dataframe_forms_agree_with_arrays(spark):
     got = {r["cluster"]: r["absorbed"] for r in c.absorb_small_clusters(df, least).collect()}
     want = c.absorb_small(label, c.large_labels(label, 12), c.normalized(x))
     assert got == {int(k): int(want[label == k][0]) for k in names}
+
+
+def test_a_large_file_is_clustered_in_linear_memory():
+    import tracemalloc
+
+    x = np.concatenate([bundles(*[300] * 8, dim=64, seed=3), np.zeros((4, 64))])
+    tracemalloc.start()
+    merges = c.centroid_linkage(c.normalized(x))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(x) ** 2 / 2
+    assert len(set(c.cut_by_height(merges, len(x))[:2400])) == 8
+
+
+def test_linkage_keeps_its_ties():
+    x = np.random.default_rng(2).integers(0, 3, (90, 2)).astype(float)
+    got, want = c.centroid_linkage(x), naive(x)
+    assert np.allclose(got[:80, 2], [h for h, _ in want[:80]])
+
+
+def test_no_cap_unless_asked_for(spark):
+    import inspect
+
+    from voxloom.queries import QUERIES
+
+    assert inspect.signature(c.cluster_slots).parameters["max_slots"].default is None
+    got = QUERIES["hac_centroid"](spark, "/root/testdata/sf0.001")
+    assert "error" in got.columns and not got.filter("cluster is null").count()

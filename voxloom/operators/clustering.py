@@ -1,7 +1,7 @@
 """Clustering of speakers: centroid linkage within a file, centroids and assignment over DataFrames.
 
-A file is one group of ``applyInPandas``; its pairwise distances are quadratic in its windows, so a file with
-more than ``max_slots`` slots to cluster is reported as an error row and not tried."""
+A file is one group of ``applyInPandas``; time is quadratic in its slots, memory linear. ``max_slots`` is for those
+who would rather have an error row than wait; without it every file is clustered."""
 
 from __future__ import annotations
 
@@ -25,25 +25,65 @@ def cosine_to(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.where(((x == 0).all(1)[:, None]) | ((c == 0).all(1)[None, :]), 1.0, 1 - normalized(x) @ normalized(c).T)
 
 
+def nearest_by_cosine(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """For each row of ``x`` the nearest of ``c``, the first on ties, by blocks."""
+    return np.concatenate([cosine_to(x[at : at + 1024], c).argmin(1) for at in range(0, len(x), 1024)])
+
+
+def _square_to(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of each row to ``c``, by blocks."""
+    out = np.empty(len(x))
+    for at in range(0, len(x), 2048):
+        away = x[at : at + 2048] - c
+        np.einsum("ij,ij->i", away, away, out=out[at : at + 2048])
+    return out
+
+
 def centroid_linkage(x: np.ndarray) -> np.ndarray:
-    """Merges ``(a, b, height, size)`` by nearest centroids; nodes from ``len(x)`` on are merges in order."""
+    """Merges ``(a, b, height, size)`` by nearest centroids; nodes from ``len(x)`` on are merges in order.
+
+    Memory is linear: each centroid has its nearest one among those after it. Where that one is gone its distance
+    stays as a lower bound, and the search is done again only once the bound is the least of all.
+    """
     n = len(x)
-    square = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
-    np.fill_diagonal(square, np.inf)
-    node, size, alive = np.arange(n), np.ones(n), np.ones(n, bool)
+    center, node, size = x.astype(np.float64), np.arange(n), np.ones(n)
+    near, least, stale = np.zeros(n, int), np.full(n, np.inf), np.zeros(n, bool)
+
+    def search(i: int, square: np.ndarray) -> None:
+        stale[i] = False
+        if len(square):
+            near[i] = i + 1 + int(square.argmin())
+            least[i] = square[near[i] - i - 1]
+        else:
+            least[i] = np.inf
+
+    def squares(i: int, at: int) -> np.ndarray:
+        """From centroid ``i`` to those from ``at`` on."""
+        return np.where(size[at:] > 0, _square_to(center[at:], center[i]), np.inf)
+
+    for i in range(n):
+        search(i, squares(i, i + 1))
     out = []
     for step in range(n - 1):
-        i, j = sorted(divmod(int(square.argmin()), n))
-        d = square[i, j]
+        while stale[i := int(least.argmin())]:
+            search(i, squares(i, i + 1))
+        j, d = int(near[i]), least[i]
         a, b = sorted((int(node[i]), int(node[j])))
         total = size[i] + size[j]
-        out.append((a, b, np.sqrt(max(d, 0.0)), total))
-        row = (size[i] * square[i] + size[j] * square[j]) / total - size[i] * size[j] * d / total**2
-        row[~alive] = np.inf
-        row[[i, j]] = np.inf
-        square[j], square[:, j] = row, row
-        square[i], square[:, i] = np.inf, np.inf
-        alive[i], node[j], size[j] = False, n + step, total
+        out.append((a, b, np.sqrt(d), total))
+        center[j] = (size[i] * center[i] + size[j] * center[j]) / total
+        node[j], size[j], size[i], least[i], stale[i] = n + step, total, 0, np.inf, False
+        square = squares(j, 0)
+        search(j, square[j + 1 :])
+        before, bound, live = square[:j], least[:j], size[:j] > 0
+        gone = live & ((near[:j] == i) | (near[:j] == j))
+        closer = live & ((before < bound) | (~stale[:j] & ~gone & (before == bound) & (near[:j] > j)))
+        stale[:j] |= gone
+        near[:j][closer], bound[closer], stale[:j][closer] = j, before[closer], False
+        if len(size) > 64 and 2 * (keep := size > 0).sum() < len(size):
+            place = np.cumsum(keep) - 1
+            center, node, size, near, least, stale = (v[keep] for v in (center, node, size, near, least, stale))
+            near = place[near]
     return np.array(out).reshape(-1, 4)
 
 
@@ -102,7 +142,7 @@ def absorb_small(labels: np.ndarray, large: np.ndarray, x: np.ndarray) -> np.nda
     names, at = np.unique(labels, return_inverse=True)
     centers = np.stack([x[at == k].mean(0) for k in range(len(names))])
     is_large = np.isin(names, large)
-    near = names[is_large][cosine_to(centers, centers[is_large]).argmin(1)]
+    near = names[is_large][nearest_by_cosine(centers, centers[is_large])]
     return np.where(is_large, names, near)[at]
 
 
@@ -133,10 +173,10 @@ def cluster(x: np.ndarray, num_speakers: int | None = None, threshold: float = T
 def assign(x: np.ndarray, train: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Nearest mean of the raw training vectors, by cosine; the lower number on ties."""
     centers = np.stack([train[labels == k].mean(0) for k in range(labels.max() + 1)])
-    return cosine_to(x, centers).argmin(1)
+    return nearest_by_cosine(x, centers)
 
 
-def cluster_slots(slots: DataFrame, *, by: str = "file_id", num_speakers: int | None = None, threshold: float = THRESHOLD, max_slots: int = 20_000) -> DataFrame:
+def cluster_slots(slots: DataFrame, *, by: str = "file_id", num_speakers: int | None = None, threshold: float = THRESHOLD, max_slots: int | None = None) -> DataFrame:
     """``by, chunk_no, local_spk, cluster, error``: slots that are inactive or have no embedding get none."""
     kind = dict(slots.dtypes)
 
@@ -144,7 +184,7 @@ def cluster_slots(slots: DataFrame, *, by: str = "file_id", num_speakers: int |
         pdf = pdf.sort_values(["chunk_no", "local_spk"])
         use = (pdf["active"] & pdf["embedding"].notna()).to_numpy()
         out = pdf[[by, "chunk_no", "local_spk"]].assign(cluster=None, error=None)
-        if use.sum() > max_slots:
+        if max_slots is not None and use.sum() > max_slots:
             return out.assign(error=f"{int(use.sum())} slots to cluster; the most is {max_slots}")
         if use.any():
             x = np.stack(pdf.loc[use, "embedding"].to_numpy()).astype(np.float64)

@@ -365,7 +365,7 @@ def hac_centroid(spark, sf_dir):
     rows = _vectors(spark, sf_dir).withColumn("e", ve.doubles(F.col("embedding")))
     pull = F.transform(F.sequence(F.lit(0), F.size("e") - 1), lambda k: F.when(k == F.col("cluster"), 2.3).otherwise(0.0))
     slot = rows.select("file_id", F.col("vec_id").alias("chunk_no"), F.lit(0).alias("local_spk"), F.lit(True).alias("active"), F.zip_with(F.transform("e", lambda x: x * 0.3), pull, lambda a, b: a + b).alias("embedding"))
-    return clustering.cluster_slots(slot).select("file_id", F.col("chunk_no").alias("vec_id"), "cluster")
+    return clustering.cluster_slots(slot).select("file_id", F.col("chunk_no").alias("vec_id"), "cluster", "error")
 
 
 @query
