@@ -1,15 +1,15 @@
 """Corpus pipeline: quality, near-dedup, decontamination, mixing, token files.
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame``; its result is written as Parquet and read again as the
-next stage's ``docs``. All stages but the last return the columns of ``documents``. Rows with an id in common
-are one document to near-dedup; the mix may then repeat documents, so the token files may hold one twice.
+next stage's ``docs``. All stages but the last return the columns of ``documents``. Near-dedup tells rows by id
+and text; the mix may then repeat documents, so the token files may hold one twice.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import cotraining, decontaminate, mixing, simhash, token_files
+from voxloom.llm import cotraining, decontaminate, mixing, near_copies, token_files
 from voxloom.llm.shared import Workspace, read_table
 
 
@@ -18,7 +18,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each_group(docs)
+    return near_copies.one_of_each_text(docs)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
