@@ -45,3 +45,12 @@ def test_links_run_through_texts_between():
     assert nc.linked_sets(sets).tolist() == [0, 0, 0, 3, 0]
     assert nc.linked_sets([a, a[:80], a[:79]]).tolist() == [0, 0, 0]
     assert nc.linked_sets([a, a[:79]]).tolist() == [0, 1]
+
+
+def test_rows_with_null_and_repeated_ids_stay_if_their_texts_differ(spark):
+    rng = random.Random(4)
+    x, y, z, u = (prose(rng, 80) for _ in range(4))
+    rows = [(7, x), (7, y), (3, edited(rng, x, 1)), (None, z), (None, u), (None, z), (None, y), (9, None), (None, ""), (4, "one two"), (4, "One  TWO")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in nc.one_of_each_text(df).collect()]
+    assert sorted(got, key=str) == sorted([(7, y), rows[2], (None, z), (None, u), (9, None), next(g for g in got if g[0] == 4)], key=str)
