@@ -150,3 +150,15 @@ def test_each_pass_has_a_permutation_of_its_own(spark):
 def test_bisect():
     assert mixing.bisect(lambda a: a >= 0.3) == pytest.approx(0.3)
     assert mixing.bisect(lambda a: True) == 0.0
+
+
+def test_few_labels_of_one_kind_are_not_lost(spark, data):
+    docs, labels, truth = data
+    bad = [r["doc_id"] for r in labels.filter("quality = 0 and doc_id is not null").collect()]
+    absent = spark.range(10**6, 10**6 + 3000).selectExpr("id as doc_id", "cast(1 as long) quality", "cast(0 as long) toxic")
+    few = labels.filter("quality = 1").unionByName(labels.filter(labels["doc_id"].isin(bad[:8]) & (labels["quality"] == 0)))
+    model = cotraining.fit_quality(docs, few.selectExpr("doc_id", "cast(quality as long) quality", "cast(toxic as long) toxic").unionByName(absent), max_labelled=200)
+    assert model is not None
+    kept = {r["doc_id"] for r in cotraining.quality(docs, labels, model=model).filter("keep").collect()}
+    assert sum(i in kept for i in truth if truth[i]) > 0.9 * sum(truth.values())
+    assert len(kept) < docs.count()

@@ -6,7 +6,8 @@ those unlabelled documents it is sure of. Held-out labelled rows then calibrate
 calibrated log-odds into one score. Every document is scored on its whole text.
 
 Models are fitted on the driver from bounded samples: ``max_labelled`` labelled and ``max_unlabelled`` other
-documents, those whose ids have the least hashes; only their feature vectors are collected. Scoring is a map
+documents, those whose ids have the least hashes; labelled ones are drawn from those that are there, each kind on
+its own, in proportion but for a least share of the rarer kind (a kind of under ten is repeated); only their feature vectors are collected. Scoring is a map
 without a shuffle.
 
 Defined results: a null text scores as an empty one, null page data as a value of its own; rows of one id are
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .shared import release, worker
 
 PAIRS, SOURCES, LANGS = 512, 32, 8
+#: Of the labelled sample at least one in so many is of the rarer kind, where there are as many.
+LEAST = 20
 #: Features count up to so many standard deviations, lest a short text's odd profile decides alone.
 FAR = 4.0
 #: Log-odds up to which one view can speak against the other.
@@ -165,12 +168,19 @@ def _matrix(batch):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 5000, max_unlabelled: int = 4000, **how) -> Model | None:
-    """A model from bounded samples, or None where labelled documents of one kind are missing."""
+    """A model from bounded samples, or None where there is no labelled document of one kind."""
     import numpy as np
 
     by_hash = F.xxhash64(F.lit("sample"), F.col("doc_id"))
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y")).withColumn("k", by_hash)
-    known = known.orderBy("k", "doc_id").limit(max_labelled)
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    sizes = {r["good"]: r["count"] for r in known.groupBy((F.col("y") > 0).alias("good")).count().collect()}
+    if len(sizes) < 2:
+        return None
+    rare = min(sizes, key=sizes.get)
+    few = min(sizes[rare], max(max_labelled * sizes[rare] // sum(sizes.values()), max_labelled // LEAST))
+    one = lambda good, most: known.filter((F.col("y") > 0) == good).orderBy("k", "doc_id").limit(most)
+    known = one(rare, few).unionByName(one(not rare, max_labelled - few))
     other = docs.filter("doc_id is not null").select("doc_id", by_hash.alias("k")).distinct().orderBy("k", "doc_id").limit(max_labelled + max_unlabelled)
     ids = known.select("doc_id", "y").unionByName(other.select("doc_id", F.lit(None).cast("int").alias("y"))).groupBy("doc_id").agg(F.max("y").alias("y"))
 
@@ -181,13 +191,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 5000,
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["y"], pa.array([x.astype(np.float16).tobytes() for x in _matrix(b)], pa.binary())], ["doc_id", "y", "x"])
 
     rows = docs.select(*_columns(docs)).join(F.broadcast(ids), "doc_id").mapInArrow(worker(run), "doc_id long, y int, x binary").toArrow()  # samples' vectors only
-    if not rows.num_rows:
-        return None
     rows = rows.sort_by("doc_id")
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(-1, META.stop).astype(np.float32)
     y = np.array([-1 if v is None else v for v in rows["y"].to_pylist()])
-    if min((y == 1).sum(), (y == 0).sum()) < 10:
-        return None
+    for k in (y > 0, y == 0):
+        times = -(-10 // int(k.sum()))
+        x, y = np.r_[x, np.tile(x[k], (times - 1, 1))], np.r_[y, np.tile(y[k], times - 1)]
     model = co_train(x[y >= 0], (y[y >= 0] > 0).astype(float), x[y < 0][:max_unlabelled], **how)
     del rows, x
     release()
