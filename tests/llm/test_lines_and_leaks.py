@@ -76,3 +76,11 @@ def test_remove_leaks_cuts_or_drops(spark):
     assert sorted(out) == [1, 3, 4]
     assert out[1]["text"] == f"{filler}\n({filler}"
     assert out[1]["n_chars"] == len(out[1]["text"]) and out[3]["text"] == "clean, text" and out[3]["n_chars"] == 9
+
+
+def test_passages_of_items_without_id_are_removed_too(spark):
+    leak = " ".join(f"q{i}" for i in range(13))
+    filler = " ".join(f"w{i}" for i in range(400))
+    docs = spark.createDataFrame([(1, f"{filler} {leak}"), (2, f"pre {leak} post"), (3, "clean")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in decontaminate.remove_leaks(docs, spark.createDataFrame([(None, leak)], "item_id long, text string")).collect()}
+    assert set(out) == {1, 3} and "q5" not in out[1]

@@ -12,7 +12,8 @@ several passes, each with a bounded broadcast); nothing of the documents is shuf
 
 Defined results: null or empty texts have no words and no hits; a null id stays null and counts as one
 document; repeated rows give repeated result rows with the same counts; items with no words have no window;
-equal items each count as an item; an empty benchmark leaves every document clean. Null item ids are ignored.
+equal items each count as an item; an empty benchmark leaves every document clean. Items with a null id are ignored by
+``decontaminate``, as in its SQL; ``remove_leaks`` takes their passages out like any other.
 """
 
 from __future__ import annotations
@@ -41,12 +42,12 @@ def probe_plan(length: int) -> tuple[int, int]:
     return k, length - k + 1
 
 
-def item_windows(benchmark: DataFrame, n: int) -> DataFrame:
+def item_windows(benchmark: DataFrame, n: int, unnamed: bool = False) -> DataFrame:
     """``item_id, len, win``: every window of every item, space-joined."""
     w = F.col("w")
     length = F.least(F.size(w), F.lit(n))
     return (
-        benchmark.filter(F.col("item_id").isNotNull())
+        benchmark.filter(F.lit(unnamed) | F.col("item_id").isNotNull())
         .select("item_id", words(F.col("text")).alias("w"))
         .filter(F.size("w") > 0)
         .select("item_id", length.alias("len"), F.explode(F.transform(F.sequence(F.lit(1), F.size(w) - length + 1), lambda i: F.array_join(F.slice(w, i, length), " "))).alias("win"))
@@ -76,9 +77,9 @@ def _blocks(rows: DataFrame, key: Column, count: int, block_rows: int) -> list[D
     return [rows.filter(F.pmod(key, F.lit(n)) == b) if n > 1 else rows for b in range(n)]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, work: Workspace, *, n: int = 13, block_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
+def hits(docs: DataFrame, benchmark: DataFrame, work: Workspace, *, n: int = 13, block_rows: int = 200_000, unnamed: bool = False) -> tuple[DataFrame, DataFrame]:
     """``id, th, start, len, win`` of every window of an item in a document, and the windows' items."""
-    windows = work.keep(item_windows(benchmark, n), "windows")
+    windows = work.keep(item_windows(benchmark, n, unnamed), "windows")
     lengths = {r["len"]: r["count"] for r in windows.groupBy("len").count().collect()}  # n rows at most
     text = F.coalesce(F.col("text"), F.lit(""))
     if not lengths:
@@ -107,9 +108,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, work: Workspace, *, n: int = 13,
     return work.keep(verified.select("id", "th", "start", "len", "win").distinct(), "hits"), windows
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, work: Workspace, *, n: int = 13, block_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
+def contamination(docs: DataFrame, benchmark: DataFrame, work: Workspace, *, n: int = 13, block_rows: int = 200_000, unnamed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Per document with a hit ``id, th, n_hit, n_items, items``; and its hit words as spans ``id, th, start, stop``."""
-    found, windows = hits(docs, benchmark, work, n=n, block_rows=block_rows)
+    found, windows = hits(docs, benchmark, work, n=n, block_rows=block_rows, unnamed=unnamed)
     order = Window.partitionBy("id", "th").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.select("id", "th", "start", "len").distinct().withColumn("stop", F.col("start") + F.col("len"))
     spans = spans.withColumn("done", F.coalesce(F.max("stop").over(order), F.lit(0)))
@@ -140,7 +141,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, share: i
     and, where there is one, ``n_chars`` of a document that was cut.
     """
     work = Workspace(docs.sparkSession, "decontaminate")
-    per_doc, spans = contamination(docs.select("doc_id", "text"), benchmark, work, n=n, block_rows=block_rows)
+    per_doc, spans = contamination(docs.select("doc_id", "text"), benchmark, work, n=n, block_rows=block_rows, unnamed=True)
     cut = spans.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("stop") - 1)))).alias("__hit"))
     cut = cut.join(per_doc.select("id", "th", "n_hit"), ["id", "th"]).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__hit", F.col("n_hit").alias("__n_hit"))
     text = F.coalesce(F.col("text"), F.lit(""))
