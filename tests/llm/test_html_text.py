@@ -89,3 +89,16 @@ def test_tables_pages_against_a_pattern(spark):
         article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         lines = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article))
         assert got[r["page_id"]] == "\n".join(x for x in lines if x)
+
+
+def test_a_header_by_name_stays_in_an_article():
+    page = "<article><header class='entry-header'><h1>Title</h1></header><div class=post-header>by</div><div class='share header'>s</div><nav class=header>n</nav><p>text</article>"
+    assert h.main_text(page) == "Title\nby\ntext"
+    assert h.main_text("<div class=header>h</div><p>text here") == "text here"
+
+
+def test_copies_of_a_page_do_not_make_its_text_noise(spark):
+    page = lambda k: f"<html><body><div class=post><p>text number {k} of many words</p></div></body></html>"
+    rows = [(i, f"http://copies.org/{i}", page(0 if i < 30 else i)) for i in range(40)]
+    got = h.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert len(got) == 40 and all(r["text"].startswith("text number") for r in got)

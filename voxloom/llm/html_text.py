@@ -49,16 +49,15 @@ NOISE, OPEN, MAIN = 0, 1, 2
 
 @lru_cache(1 << 14)
 def _element(tag: str, attrs: str) -> tuple[str, int, bool]:
-    """Style name, what the element's names say, and whether they are a tag's that an article overrules."""
+    """Style name, what the element's names say, and whether it is but a header, which an article overrules."""
     found = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(attrs)} if attrs else {}
     names = re.sub(r"\d+", "0", f"{found.get('class', '')} {found.get('id', '')}".lower()).split()
     style = ".".join([tag, *sorted(set(names))])
     words = {w for n in [*names, *found.get("role", "").lower().split()] for w in [n, *re.split(r"[-_0]+", n)]}
     hidden = re.search(r"(^|\s)hidden(\s|=|/|$)", re.sub(r"""=\s*("[^"]*"|'[^']*')""", "= ", attrs)) or "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("aria-hidden") == "true"
-    if hidden or words & NOISE_NAMES and tag not in ("html", "body", "main"):
-        return style, NOISE, False
-    if tag in NOISE_TAGS:
-        return style, NOISE, True
+    names = words & NOISE_NAMES if tag not in ("html", "body", "main") else set()
+    if hidden or names or tag in NOISE_TAGS:
+        return style, NOISE, not hidden and names <= {"header"} and (tag == "header" or tag not in NOISE_TAGS)
     return style, MAIN if tag in WHOLE or "main" in found.get("role", "") else OPEN, False
 
 
@@ -127,13 +126,13 @@ def blocks(page: str):
                 break
             if open_tag in (CLOSES[tag][1] if tag in CLOSES else ()) or open_tag in WHOLE:
                 break
-        style, means, by_tag = _element(tag, m[3].strip())
+        style, means, header = _element(tag, m[3].strip())
         flush()
         if what == NOISE:
             overruled = means == MAIN and not any(w == NOISE and not _overruled(t) for t, w, _ in stack)
             means = MAIN if overruled else NOISE
         elif what == MAIN:
-            means = NOISE if means == NOISE and not (by_tag and tag == "header") else MAIN
+            means = NOISE if means == NOISE and not header else MAIN
         elif means == OPEN:
             children.setdefault(path, []).append(style)
             children.setdefault((*path, style), [])
@@ -160,30 +159,31 @@ def host_of(url: str | None) -> str:
 
 
 def style_counts(pages: DataFrame) -> DataFrame:
-    """``host, node, kind, feature, n``: pages of a host by children (0) or texts (1) of a node that names don't decide."""
+    """``host, node, kind, feature, n``: pages of a host by children (0) or texts (1) of a node that names don't decide.
+    Pages of one html count once for a host."""
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
-        kinds = pa.schema([("host", pa.string()), ("node", pa.int64()), ("kind", pa.int32()), ("feature", pa.int64())])
+        kinds = pa.schema([("host", pa.string()), ("node", pa.int64()), ("kind", pa.int32()), ("feature", pa.int64()), ("page", pa.int64())])
         digest = lambda s: xxhash.xxh64_intdigest(s.encode(), 2) - 2**63
         for b in batches:
             rows = set()
-            for k, (url, page) in enumerate(zip(b["url"].to_pylist(), b["html"].to_pylist(), strict=True)):
+            for url, page in zip(b["url"].to_pylist(), b["html"].to_pylist(), strict=True):
                 found, children = blocks(page or "")
                 if any(x[0] == MAIN for x in found):
                     continue  # the tree has no say on such a page
-                host = host_of(url)
+                host, k = host_of(url), digest(page or "")
                 for path, names in children.items():
-                    rows.add((k, host, _path_key(path), 0, digest(" ".join(x for i, x in enumerate(names) if names[i - 1 : i] != [x]))))
+                    rows.add((host, _path_key(path), 0, digest(" ".join(x for i, x in enumerate(names) if names[i - 1 : i] != [x])), k))
                 for what, path, text, _ in found:
                     if what == OPEN:
-                        rows.add((k, host, _path_key(path), 1, digest(text)))
+                        rows.add((host, _path_key(path), 1, digest(text), k))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(list(zip(*rows, strict=True))[1:], kinds, strict=True)], schema=kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
-    rows = pages.select("url", "html").mapInArrow(worker(run), "host string, node long, kind int, feature long")
+    rows = pages.select("url", "html").mapInArrow(worker(run), "host string, node long, kind int, feature long, page long").distinct()
     return rows.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("n"))
 
 
