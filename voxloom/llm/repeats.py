@@ -3,8 +3,8 @@
 1. Anchors. Each window of ``size`` bytes has one anchor, the ``gram`` bytes in it with the least hash (the
    first of them). Equal windows have equal anchors at equal places, so windows whose anchor occurs once cannot
    repeat. The windows that share an occurrence of an anchor are one stretch of text, its context.
-2. Equal contexts (by anchor and context hash, 128 bits together; counts are combined before the shuffle) repeat
-   as a whole and become one.
+2. Equal contexts (by a 128-bit hash of their bytes; counts are combined before the shuffle) repeat as a whole and
+   become one, which goes on for all of them.
 3. Anchors with several different contexts go, with one copy of each of these, through column-wise
    construction of their collection's Burrows-Wheeler transform and common prefixes (``column_bwt``). Symbols
    are words of eight bytes, in step with the anchor: equal windows have ``size / 8 - 1`` whole words in common
@@ -13,7 +13,11 @@
 4. Spans are gathered by document and cut out of its bytes.
 
 A task holds the contexts of whole anchors, some ``batch`` strings at a time. An anchor with more than
-``max_group`` different contexts is not gathered in one: its windows are dealt by their own hash and counted.
+``max_group`` different contexts is not gathered in one task. Its windows are parted by the place of the anchor in
+them, first half and second half: all windows of a half have some bytes around the anchor in common to look at,
+and only those that agree in these bytes can be equal, so each half's contexts are dealt by them. Halves of halves
+follow where a group is still too large; in the end a half is one window, and groups of equal windows are one
+context. All groups go through the same construction, in files in the shared folder where that is a path.
 One symbol per string and round is what keeps the files sequential; single bytes as symbols would need eight
 times the rounds over eight times the entries, without another result.
 
@@ -127,16 +131,23 @@ def _merged(doc, lo, hi):
     return doc[first], lo[first], top[np.r_[first[1:], len(doc)] - 1] - doc[first] * (1 << 40)
 
 
+def _digests(strings):
+    """Two arrays with the halves of the strings' 128-bit hashes."""
+    import numpy as np
+    import xxhash
+
+    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s) for s in strings), ">i8").astype(np.int64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def find_anchors(rows: DataFrame, size: int, gram: int) -> DataFrame:
-    """``a, c, id, lo, size, rel, n``: contexts by document; with null ``a``, spans that repeat in their own document."""
+    """``a, c1, c2, id, lo, size, rel, n``: contexts by document; with null ``a``, spans that repeat in their own document."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
-        digest = xxhash.xxh3_64_intdigest
-        kinds = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("id", pa.int64()), ("lo", pa.int64()), ("size", pa.int32()), ("rel", pa.int32()), ("n", pa.int32())])
+        kinds = pa.schema([("a", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("id", pa.int64()), ("lo", pa.int64()), ("size", pa.int32()), ("rel", pa.int32()), ("n", pa.int32())])
         for b in batches:
             ids = b["id"].to_numpy()
             for buf, row, starts, ends, base in _pieces(b["text"], size):
@@ -144,22 +155,22 @@ def find_anchors(rows: DataFrame, size: int, gram: int) -> DataFrame:
                 if not len(x["a"]):
                     continue
                 raw = buf.tobytes()
-                c = np.array([digest(raw[s : s + n]) for s, n in zip(x["lo"].tolist(), x["size"].tolist(), strict=True)], np.uint64).view(np.int64)
+                c1, c2 = _digests(raw[s : s + n] for s, n in zip(x["lo"].tolist(), x["size"].tolist(), strict=True))
                 lo = x["lo"] - starts[x["doc"]] + base[x["doc"]]
-                order = np.lexsort((lo, c, x["a"], x["doc"]))
-                doc, a, c, lo, n, rel = x["doc"][order], x["a"][order], c[order], lo[order], x["size"][order], x["rel"][order]
-                first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
+                order = np.lexsort((lo, c1, c2, x["a"], x["doc"]))
+                doc, a, c1, c2, lo, n, rel = x["doc"][order], x["a"][order], c1[order], c2[order], lo[order], x["size"][order], x["rel"][order]
+                first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (a[1:] != a[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])])
                 count = np.diff(np.r_[first, len(doc)])
                 own = np.repeat(count > 1, count)
                 d, s, e = _merged(doc[own], lo[own], lo[own] + n[own])
                 none = [None] * len(d)
-                parts = [(pa.array(a[first]), pa.array(c[first]), ids[row[doc[first]]], lo[first], n[first], rel[first], count)]
+                parts = [(pa.array(a[first]), pa.array(c1[first]), pa.array(c2[first]), ids[row[doc[first]]], lo[first], n[first], rel[first], count)]
                 if len(d):
-                    parts.append((pa.array(none, pa.int64()), pa.array(none, pa.int64()), ids[row[d]], s, e - s, np.zeros(len(d), int), np.zeros(len(d), int)))
+                    parts.append((*[pa.array(none, pa.int64())] * 3, ids[row[d]], s, e - s, np.zeros(len(d), int), np.zeros(len(d), int)))
                 for p in parts:
                     yield pa.RecordBatch.from_arrays([pa.array(v).cast(k.type) for v, k in zip(p, kinds, strict=True)], schema=kinds)
 
-    return rows.mapInArrow(worker(run), "a long, c long, id long, lo long, size int, rel int, n int")
+    return rows.mapInArrow(worker(run), "a long, c1 long, c2 long, id long, lo long, size int, rel int, n int")
 
 
 def _contexts(rows: DataFrame, need: DataFrame) -> DataFrame:
@@ -186,7 +197,7 @@ def _contexts(rows: DataFrame, need: DataFrame) -> DataFrame:
     return rows.join(need, "id").mapInArrow(worker(run), "a long, id long, lo long, rel int, judge boolean, s binary")
 
 
-def repeated_windows(strings: list[bytes], rel, size: int):
+def repeated_windows(strings: list[bytes], rel, size: int, folder: str | None = None):
     """``string, start`` of each window of ``size`` bytes that another of the strings has at its anchor, too."""
     import numpy as np
 
@@ -201,7 +212,7 @@ def repeated_windows(strings: list[bytes], rel, size: int):
     at = np.repeat(begins + head - WORD * (np.cumsum(words) - words), words) + WORD * np.arange(words.sum())
     as_words = np.lib.stride_tricks.sliding_window_view(raw, WORD)
     symbols = np.unique(np.ascontiguousarray(as_words[at]).view(np.uint64).ravel(), return_inverse=True)[1] + 1
-    owner, tail, lcp, _ = column_bwt(symbols, words)
+    owner, tail, lcp, _ = column_bwt(symbols, words, folder)
     near = lcp >= size // WORD - 1
     group = np.cumsum(~near)
     member = near | np.r_[near[1:], False]
@@ -223,7 +234,7 @@ def repeated_windows(strings: list[bytes], rel, size: int):
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _judge(contexts: DataFrame, size: int, batch: int) -> DataFrame:
+def _judge(contexts: DataFrame, size: int, batch: int, folder: str | None) -> DataFrame:
     """``id, lo, hi``: what repeats in the contexts to be judged. Sorted by anchor, whole anchors to a partition."""
 
     def run(batches):
@@ -233,7 +244,7 @@ def _judge(contexts: DataFrame, size: int, batch: int) -> DataFrame:
         held: list[tuple] = []
 
         def settle(rows):
-            own, start = repeated_windows([r[5] for r in rows], [r[3] for r in rows], size)
+            own, start = repeated_windows([r[5] for r in rows], [r[3] for r in rows], size, folder)
             judged = np.array([r[4] for r in rows])[own]
             own, start = own[judged], start[judged]
             doc, lo, hi = _merged(own, start, start + size)
@@ -256,45 +267,85 @@ def _judge(contexts: DataFrame, size: int, batch: int) -> DataFrame:
     return contexts.repartition("a").sortWithinPartitions("a").mapInArrow(worker(run), "id long, lo long, hi long")
 
 
-def _judge_hot(contexts: DataFrame, size: int) -> DataFrame:
-    """The same by counting windows, each dealt by its own 128-bit hash."""
+KEYED = "a long, c1 long, c2 long, id long, lo long, rel int, judge boolean, s binary, low int, high int"
+
+
+def _halves(contexts: DataFrame, size: int) -> DataFrame:
+    """Contexts (``id, lo, rel, judge, s``) of windows whose anchor is ``low`` to ``high`` bytes behind their start, cut
+    to the windows of either half; ``a`` is now a hash of the bytes that all windows of that half have in common."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
         import xxhash
 
+        names = [x.split()[0] for x in KEYED.split(", ")]
+        kinds = [pa.int64()] * 5 + [pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.int32()]
         for b in batches:
-            for i, lo, s in zip(*(b[c].to_pylist() for c in ("id", "lo", "s")), strict=True):
-                h = [xxhash.xxh3_128_intdigest(s[o : o + size]) for o in range(len(s) - size + 1)]
-                n = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array([(x >> 64) - 2**63 for x in h]), pa.array([x % 2**64 - 2**63 for x in h]), pa.array([i] * n, pa.int64()), pa.array(range(lo, lo + n), pa.int64())], ["h1", "h2", "id", "lo"])
-
-    rows = contexts.mapInArrow(worker(run), "h1 long, h2 long, id long, lo long")
-    twice = rows.groupBy("h1", "h2").count().filter("count > 1").drop("count")
-    return rows.join(twice, ["h1", "h2"]).select("id", "lo", (F.col("lo") + size).alias("hi"))
+            for at in range(0, b.num_rows, 4096):
+                out = []
+                for i, lo, rel, judge, s, low, high in zip(*(b.slice(at, 4096)[c].to_pylist() for c in ("id", "lo", "rel", "judge", "s", "low", "high")), strict=True):
+                    half = (low + high) // 2
+                    for p, q in ((low, half), (half + 1, high)) if low < high else ((low, high),):
+                        near, far = max(p, rel + size - len(s)), min(q, rel)  # of the windows that are there
+                        if near <= far:
+                            common = s[rel - p : rel - q + size] if q - p < size else b""
+                            out.append((xxhash.xxh3_64_intdigest(common, p * 65_536 + q) - 2**63, i, lo + rel - far, far, judge, s[rel - far : rel - near + size], p, q))
+                if out:
+                    a, i, lo, rel, judge, s, p, q = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x) if hasattr(x, "dtype") else x, k) for x, k in zip((a, *_digests(s), i, lo, rel, judge, s, p, q), kinds, strict=True)], names)
+
+    return contexts.select("id", "lo", "rel", "judge", "s", "low", "high").mapInArrow(worker(run), KEYED)
+
+
+def _dealt(contexts: DataFrame, work: Workspace, size: int, max_group: int) -> tuple[DataFrame, list[DataFrame], bool]:
+    """One step of dealing out: contexts in groups of two or more, ``k`` in each; spans of those that are equal; whether
+    a group is still too large."""
+    halves = work.keep(_halves(contexts, size), "halves")
+    by_context = halves.groupBy("a", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("id", "lo")).alias("x"))
+    by_context = work.keep(by_context, "half-contexts")
+    alike = by_context.filter("n > 1").select("a", "c1", "c2")
+    equal = halves.filter("judge").join(alike, ["a", "c1", "c2"]).select("id", "lo", (F.col("lo") + F.length("s")).alias("hi"))
+    groups = by_context.groupBy("a").agg(F.count("*").alias("k")).filter("k > 1")
+    one = by_context.join(groups, "a").select("a", "c1", "c2", "x.id", "x.lo", "n", "k")
+    left = halves.join(one, ["a", "c1", "c2", "id", "lo"]).withColumn("judge", F.col("judge") & (F.col("n") == 1)).drop("n")
+    left = work.keep(left, "dealt")
+    return left, [equal], bool(left.filter((F.col("k") > max_group) & (F.col("low") < F.col("high"))).limit(1).count())
 
 
 def repeated_spans(rows: DataFrame, work: Workspace, *, size: int = SIZE, gram: int = GRAM, batch: int = 1000, max_group: int = 4096) -> DataFrame:
     """``id, lo, hi`` (may overlap) in ``rows`` of unique ``id`` and not-null ``text``."""
-    if size % WORD or size < 2 * gram:
-        raise ValueError(f"size must be a multiple of {WORD} and twice a gram")
+    if size % WORD or size < 2 * gram or size > 65_535:
+        raise ValueError(f"size must be a multiple of {WORD}, twice a gram or more and under 65,536")
     every = work.keep(find_anchors(rows, size, gram), "anchors")
     found = every.filter("a is not null")
     several = work.keep(found.groupBy("a").agg(F.sum("n").alias("t")).filter("t > 1").select("a"), "several")
     found = work.keep(found.join(several, "a"), "found")
-    by_context = found.groupBy("a", "c").agg(F.sum("n").alias("n"), F.min(F.struct("id", "lo", "size", "rel")).alias("x"))
+    by_context = found.groupBy("a", "c1", "c2").agg(F.sum("n").alias("n"), F.min(F.struct("id", "lo", "size", "rel")).alias("x"))
     by_context = work.keep(by_context, "contexts")
     work.free()
-    equal = found.join(by_context.filter("n > 1").select("a", "c"), ["a", "c"]).select("id", "lo", (F.col("lo") + F.col("size")).alias("hi"))
+    alike = by_context.filter("n > 1").select("a", "c1", "c2")
+    equal = found.join(alike, ["a", "c1", "c2"]).select("id", "lo", (F.col("lo") + F.col("size")).alias("hi"))
     groups = work.keep(by_context.groupBy("a").agg(F.count("*").alias("k")).filter("k > 1"), "groups")
     need = by_context.join(groups, "a").select("a", "x.*", (F.col("n") == 1).alias("judge"), "k")
+    columns = work.local_path("columns")
     spans = [every.filter("a is null").select("id", "lo", (F.col("lo") + F.col("size")).alias("hi")), equal]
-    spans.append(work.keep(_judge(_contexts(rows, need.filter(F.col("k") <= max_group)), size, batch), "judged"))
+    spans.append(work.keep(_judge(_contexts(rows, need.filter(F.col("k") <= max_group)), size, batch, columns), "judged"))
     work.free()
-    if groups.filter(F.col("k") > max_group).limit(1).count():
-        hot = work.keep(_contexts(rows, need.filter(F.col("k") > max_group)), "hot")
-        spans.append(work.keep(_judge_hot(hot, size), "judged-hot"))
-    return spans[0].unionByName(spans[1]).unionByName(spans[2]) if len(spans) == 3 else spans[0].unionByName(spans[1]).unionByName(spans[2]).unionByName(spans[3])
+    more = groups.filter(F.col("k") > max_group).limit(1).count() > 0
+    if more:
+        hot = work.keep(_contexts(rows, need.filter(F.col("k") > max_group)), "hot").withColumns({"low": F.lit(0), "high": F.lit(size - gram)})
+    while more:
+        left, same, more = _dealt(hot, work, size, max_group)
+        fits = (F.col("k") <= max_group) | (F.col("low") == F.col("high"))
+        spans += same
+        spans.append(work.keep(_judge(left.filter(fits).select("a", "id", "lo", "rel", "judge", "s"), size, batch, columns), "judged"))
+        hot = left.filter(~fits)
+        work.free()
+    out = spans[0]
+    for s in spans[1:]:
+        out = out.unionByName(s)
+    return out
 
 
 def _unique_rows(docs: DataFrame, work: Workspace) -> DataFrame:

@@ -22,9 +22,11 @@ NULL_ID = -(2**63)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests), a temporary folder that is set as it."""
+    """``spark.checkpoint.dir``; where it is unset (tests on a local master), a temporary folder that is set as it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="voxloom-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -50,6 +52,11 @@ class Workspace:
         df.write.partitionBy(*partition_by).parquet(to)
         return self.spark.read.schema(df.schema).parquet(to)
 
+    def local_path(self, name: str) -> str | None:
+        """A folder of this run for plain files that are read and written in place; None where the shared folder is no path."""
+        files = SharedFiles(self.folder(name))
+        return files.root if files.local else None
+
     def free(self) -> None:
         """Let Spark drop the shuffle files of steps that have been kept."""
         gc.collect()
