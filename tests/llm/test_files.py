@@ -103,3 +103,31 @@ def test_archive_with_dictionary_and_damage():
         list(warc.read_archive(archive + c.compress(warc.record("response", 1, "u", b"x", warc.digest(b"x"))[:-3])))
     with pytest.raises(ValueError, match="dictionary"):
         list(warc.read_archive(frames[0]))
+
+
+def test_other_tokenizers_go_to_the_library_whole(tmp_path):
+    import json
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    from voxloom.llm import token_files
+
+    settings = json.load(open(public_tokenizers.path("byte_bpe_50k.json")))
+    assert token_files.splits_plainly(json.dumps(settings))
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(settings | change))
+        encode = token_files.Encoder(str(path))
+        texts = ["Hello World, it's  me", "", "a\nb c"]
+        assert encode(pa.array(texts)) == encode.ids(texts) != token_files.Encoder(None)(pa.array(texts))
+
+
+def test_targets_are_percent_encoded_and_come_back():
+    from urllib.parse import unquote
+
+    from voxloom.llm import warc
+
+    for url in ("http://a.b/c?d=e&f=%20#g", "http://ü.de/ß x\r\ny", "50%", ""):
+        fields, _ = warc.headers(warc.record("response", 1, url, b"x", warc.digest(b"x")))
+        assert unquote(fields["WARC-Target-URI"]) == url

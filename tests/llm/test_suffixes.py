@@ -113,3 +113,23 @@ def test_pieces_of_long_texts_have_each_window_once(monkeypatch, limit):
                 seen[int(row[d]), at] += 1
     assert seen == Counter((r, i) for r, t in enumerate(texts) for i in range(len(t.encode()) - 399))
     assert not list(repeats._pieces(pa.array([], pa.string()), 400))
+
+
+def test_windows_of_strings_without_repeats():
+    rng = random.Random(9)
+    for strings in ([b"x" * 400], [rng.randbytes(400), rng.randbytes(500)], [b"", b"short"]):
+        own, start = repeats.repeated_windows(strings, [0] * len(strings), 400)
+        assert not len(own) and not len(start)
+    own, start = repeats.repeated_windows([b"y" + b"x" * 400, b"x" * 400 + b"z"], [9, 8], 400)
+    assert sorted(zip(own.tolist(), start.tolist())) == [(0, 1), (1, 0)]
+
+
+def test_files_are_gone_and_blocks_of_any_size_agree(tmp_path):
+    rng = random.Random(4)
+    strings = [[rng.randint(1, 4) for _ in range(rng.randint(0, 30))] for _ in range(20)]
+    flat, lengths = np.array([s for x in strings for s in x], np.int64), np.array([len(x) for x in strings], np.int64)
+    want = column_bwt.column_bwt(flat, lengths)
+    for block in (1, 3, 50):
+        got = column_bwt.column_bwt(flat, lengths, str(tmp_path / "columns"), block)
+        assert all((a == b).all() for a, b in zip(got, want))
+    assert not list((tmp_path / "columns").iterdir())

@@ -229,7 +229,7 @@ def repeated_windows(strings: list[bytes], rel, size: int, folder: str | None =
         order = np.lexsort((left, g))
         g, left = g[order], left[order]
         same = (g[1:] == g[:-1]) & (left[1:] == left[:-1])
-        twice = order[np.r_[same, False] | np.r_[False, same]]
+        twice = order[(np.r_[same, False] | np.r_[False, same])[: len(order)]]
         out.append((own[twice], s[twice]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 

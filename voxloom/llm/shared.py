@@ -52,6 +52,12 @@ class Workspace:
         df.write.partitionBy(*partition_by).parquet(to)
         return self.spark.read.schema(df.schema).parquet(to)
 
+    def listed(self, files: DataFrame) -> DataFrame:
+        """Runs a plan that writes files and returns a small row for each of them; the rows go by way of the driver.
+
+        As a table each row would be a file of its own, and an executor starts several processes to make a file."""
+        return self.spark.createDataFrame(files.collect(), files.schema)
+
     def local_path(self, name: str) -> str | None:
         """A folder of this run for plain files that are read and written in place; None where the shared folder is no path."""
         files = SharedFiles(self.folder(name))
@@ -89,22 +95,32 @@ class SharedFiles:
 
             self.fs, self.root = pyarrow.fs.FileSystem.from_uri(uri)
 
-    def write(self, name: str, chunks: Iterable[bytes]) -> int:
-        path, n = f"{self.root}/{name}", 0
+    @contextlib.contextmanager
+    def create(self, name: str):
+        """A file to write; it gets its name once it is whole."""
+        path = f"{self.root}/{name}"
         tmp = f"{path}.{uuid.uuid4().hex}.tmp"
         if self.local:
             os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(tmp, "wb") as f:
-                for c in chunks:
-                    n += f.write(c)
+            try:
+                with open(tmp, "wb") as f:
+                    yield f
+            except BaseException:
+                os.remove(tmp)
+                raise
             os.replace(tmp, path)
-            return n
-        self.fs.create_dir(path.rpartition("/")[0], recursive=True)
-        with self.fs.open_output_stream(tmp) as f:
+        else:
+            self.fs.create_dir(path.rpartition("/")[0], recursive=True)
+            with self.fs.open_output_stream(tmp) as f:
+                yield f
+            self.fs.move(tmp, path)
+
+    def write(self, name: str, chunks: Iterable[bytes]) -> int:
+        n = 0
+        with self.create(name) as f:
             for c in chunks:
                 f.write(c)
                 n += len(c)
-        self.fs.move(tmp, path)
         return n
 
     def open(self, name: str):

@@ -6,13 +6,14 @@ copy. A second small file names the documents in it: ``doc_id, at`` (place of th
 Sequences run on over documents, each of which ends with ``end_id``.
 
 Documents are range-partitioned by id, a partition writes one pair of files, and the partitions' totals give
-each file's place in the whole. Files are written under a temporary name and renamed, so a lost executor's
-task can run again. Ids of one file only are in memory, in pieces of ``flush`` ids.
+each file's place in the whole. Files are written in the shared folder under a temporary name and renamed, so a
+lost executor's task can run again. Ids of one file only are in memory, in pieces of ``flush`` ids.
 
 Ids are the tokenizer library's. The byte-level model encodes each piece of the vocabulary's own split on its
 own, so pieces (or whole runs between spaces, where no space is next to other white space) go to the library
-once for some megabytes of text, and frequent ones into a bounded cache of each Python worker. Texts with characters beyond ``PLAIN`` or with the
-name of a special token go to the library whole.
+once for some megabytes of text, and frequent ones into a bounded cache of each Python worker. Texts with characters
+beyond ``PLAIN`` or with the name of a special token go to the library whole, and so do all texts where the tokenizer
+file asks for another split, a normaliser or the like.
 
 Defined results: null text is an empty one (its end id only); a null id sorts first and stays null; repeated
 rows are repeated documents; an empty table gives no rows and no files; other columns are ignored.
@@ -38,6 +39,22 @@ AROUND_SPACE = ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r")
 #: Stands for the space in the names of byte-level ids.
 SPACE_MARK = "Ġ"
 CACHED, CACHED_CHARS, TEXT_CHARS = 150_000, 40, 1 << 22
+#: Settings of a tokenizer file under which the split above is the tokenizer's own and nothing else acts.
+PLAIN_FILE = {"normalizer": None, "post_processor": None, "truncation": None, "padding": None}
+PLAIN_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None}
+
+
+def splits_plainly(settings: str) -> bool:
+    """Whether a tokenizer's own split is ``SPLIT``, with nothing before or after it."""
+    import json
+
+    found = json.loads(settings)
+    split, model = found.get("pre_tokenizer") or {}, found.get("model") or {}
+    return (
+        all(found.get(k) == v for k, v in PLAIN_FILE.items()) and all(split.get(k) == v for k, v in PLAIN_SPLIT.items())
+        and all(model.get(k) == v for k, v in PLAIN_MODEL.items())
+    )
 
 
 class Encoder:
@@ -57,6 +74,7 @@ class Encoder:
             path = public_tokenizers.path("byte_bpe_50k.json")
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.by_pieces = splits_plainly(self.tokenizer.to_str())
         self.pieces = regex.compile(SPLIT).findall
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.beyond = "|".join([BEYOND_PLAIN, *map(re.escape, special)])
@@ -124,6 +142,8 @@ class Encoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        if not self.by_pieces:
+            return self.ids(texts.to_pylist())
         whole = pc.match_substring_regex(texts, self.beyond).to_numpy(zero_copy_only=False)
         tight = pc.match_substring_regex(texts, "|".join(AROUND_SPACE)).to_numpy(zero_copy_only=False) & ~whole
         out: list = [None] * len(texts)
@@ -205,17 +225,21 @@ class TokenFile:
 
 
 def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str | None = None, seq_len: int = SEQ_LEN, end_id: int = END_ID, flush: int = 1 << 18) -> DataFrame:
-    """Writes the files; ``part, name, index, n_docs, n_tokens`` of each. Run its plan once (``keep`` does)."""
+    """Writes the files; ``part, name, index, n_docs, n_tokens`` of each. Run its plan once (``listed`` does)."""
 
     def write(batches):
-        import os
-        import tempfile
+        from itertools import chain
 
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
         from pyspark import TaskContext
 
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        batches = chain([first], batches)
+
         part, encode = TaskContext.get().partitionId(), _encoder(tokenizer)
         end = np.array([end_id], encode.kind).tobytes()
         ids, counts = [], []
@@ -232,12 +256,8 @@ def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str | None = N
                         yield end
 
         shared = SharedFiles(folder)
-        with tempfile.TemporaryFile() as spill:  # this task's own scratch; the shared file is written at the end
-            _sequences(chunks(), encode.kind, seq_len, pa.PythonFile(spill, "w"), flush)
-            if not ids:
-                return
-            spill.seek(0, os.SEEK_SET)
-            shared.write(f"tokens-{part:06d}.arrow", iter(lambda: spill.read(1 << 22), b""))
+        with shared.create(f"tokens-{part:06d}.arrow") as to:
+            _sequences(chunks(), encode.kind, seq_len, pa.PythonFile(to, "w"), flush)
         n = np.array(counts, np.int64)
         index = pa.table({"doc_id": pa.array(ids, pa.int64()), "at": np.cumsum(n) - n, "n_tokens": n})
         out = pa.BufferOutputStream()
@@ -290,7 +310,8 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    out = files.select("part", "name", "index").repartition(max(1, len(totals)), "part").mapInArrow(worker(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n_tasks = max(1, min(len(totals), 4 * files.sparkSession.sparkContext.defaultParallelism))
+    out = files.select("part", "name", "index").repartition(n_tasks).mapInArrow(worker(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
     return out.withColumn("doc_id", null_id(F.col("doc_id")))
 
 
@@ -298,5 +319,5 @@ def token_output(docs: DataFrame, *, tokenizer: str | None = None, seq_len: int
     """Write ``docs`` as token files in the shared folder and read them back, a row for each document."""
     work = Workspace(docs.sparkSession, "tokens")
     folder = work.folder("files")
-    files = work.keep(write_token_files(docs, folder, tokenizer=tokenizer, seq_len=seq_len, end_id=end_id), "list")
+    files = work.listed(write_token_files(docs, folder, tokenizer=tokenizer, seq_len=seq_len, end_id=end_id))
     return read_token_files(files, folder)

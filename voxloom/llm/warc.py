@@ -8,7 +8,8 @@ HTTP content length and, for payloads that are there, the digest.
 
 Equal payloads are found by counting digests (combined before the shuffle); a payload that a third of the
 pages share makes one row there. A task writes files of about ``file_bytes``, under a temporary name, then
-renamed, so that it can run again.
+renamed, so that it can run again. Small tables are dealt to as many tasks as there are cores, not to more, so
+archives don't become scraps. The list of archives (one row for 64 MB) goes by way of the driver.
 
 Defined results: null html is an empty payload; a null id or url stays null, is never referred to and its
 record is a response; rows that repeat the smallest id with its payload are responses too; an empty table
@@ -20,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ from .shared import SharedFiles, Workspace, worker
 
 #: Fixed values of the formats: magic numbers of a skippable frame that holds a dictionary and of a frame.
 DICT_MAGIC, FRAME_MAGIC, VERSION = 0x184D2A5D, 0xFD2FB528, b"WARC/1.1"
+#: Characters of a target that stand as they are; "%" is not one, so what is read back is what was written.
+URI = "!#$&'()*+,/:;=?@[]-._~"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -40,7 +44,7 @@ def record(kind: str, page_id, url, payload: bytes, sha1: str, refers_to=None) -
     block = http + (payload if kind == "response" else b"")
     lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
-        lines.append(f"WARC-Target-URI: {url.encode('unicode_escape').decode()}")
+        lines.append(f"WARC-Target-URI: {quote(url, safe=URI)}")
     lines += [f"WARC-Payload-Digest: sha1:{sha1}", f"Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if refers_to is not None:
         lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
@@ -127,11 +131,13 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, file_bytes: int = 64 << 20, level: int = 3) -> DataFrame:
-    """Writes the archives; ``name, n_records, n_bytes`` of each. Run its plan once (``keep`` does)."""
+    """Writes the archives; ``name, n_records, n_bytes`` of each. Run its plan once (``listed`` does)."""
     words = fit_dictionary(pages)
     html = F.coalesce("html", F.lit(""))
     seen = revisits(pages, min_bytes).withColumnRenamed("page_id", "seen_id")
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("k"), F.octet_length(html).alias("n"))
+    n_bytes = pages.agg(F.sum(F.octet_length(html))).first()[0] or 0
+    n_tasks = max(pages.sparkSession.sparkContext.defaultParallelism, 2, -(-n_bytes // file_bytes))
     rows = rows.join(seen, (F.col("page_id") == F.col("seen_id")) & (F.col("k") == F.col("sha")) & (F.col("n") == F.col("size")), "left")
 
     def write(batches):
@@ -151,18 +157,21 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, file_by
             held, size = [], 0
 
         for b in batches:
-            for page_id, url, h, sha, to in zip(*(b[c].to_pylist() for c in ("page_id", "url", "html", "k", "refers_to")), strict=True):
-                sha1 = base64.b32encode(bytes.fromhex(sha)).decode()
-                held.append(encode(record("response" if to is None else "revisit", page_id, url, h.encode(), sha1, to)))
-                size += len(held[-1])
-                if size >= file_bytes:
-                    close()
+            for at in range(0, b.num_rows, 256):
+                part_of = b.slice(at, 256)
+                for page_id, url, h, sha, to in zip(*(part_of[c].to_pylist() for c in ("page_id", "url", "html", "k", "refers_to")), strict=True):
+                    sha1 = base64.b32encode(bytes.fromhex(sha)).decode()
+                    held.append(encode(record("response" if to is None else "revisit", page_id, url, h.encode(), sha1, to)))
+                    size += len(held[-1])
+                    if size >= file_bytes:
+                        close()
         if held:
             close()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], ["name", "n_records", "n_bytes"])
 
-    return rows.select("page_id", "url", "html", "k", "refers_to").mapInArrow(worker(write), "name string, n_records long, n_bytes long")
+    rows = rows.select("page_id", "url", "html", "k", "refers_to").coalesce(min(n_tasks, 2**31 - 1))
+    return rows.mapInArrow(worker(write), "name string, n_records long, n_bytes long")
 
 
 def read_archives(files: DataFrame, folder: str, n_tasks: int | None = None) -> DataFrame:
@@ -181,7 +190,7 @@ def read_archives(files: DataFrame, folder: str, n_tasks: int | None = None) ->
                     rows = []
                     for fields, _, length in read_archive(data):
                         url = fields.get("WARC-Target-URI")
-                        rows.append((number(fields["WARC-Record-ID"]), url if url is None else url.encode().decode("unicode_escape"), length, fields["WARC-Payload-Digest"][5:], fields["WARC-Type"], number(fields.get("WARC-Refers-To"))))
+                        rows.append((number(fields["WARC-Record-ID"]), url if url is None else unquote(url), length, fields["WARC-Payload-Digest"][5:], fields["WARC-Type"], number(fields.get("WARC-Refers-To"))))
                 if len(rows) != n:
                     raise ValueError(f"{name} has {len(rows)} records, {n} were written")
                 for at in range(0, len(rows), 10_000):
@@ -197,4 +206,4 @@ def warc_round_trip(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     work = Workspace(pages.sparkSession, "warc")
     folder = work.folder("archives")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return read_archives(work.keep(write_archives(pages, folder, min_bytes=min_bytes), "list"), folder)
+    return read_archives(work.listed(write_archives(pages, folder, min_bytes=min_bytes)), folder)
