@@ -71,7 +71,6 @@ def test_remove_leaks_cuts_or_drops(spark):
     filler = " ".join(f"w{i}" for i in range(400))
     rows = [(1, f"{filler}\n({leak.upper()}), {filler}", 9, "a"), (2, f"pre {leak} post", 9, "b"), (3, "clean, text", 9, None), (4, None, None, "d")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, __w string")
-    docs = docs.withColumnRenamed("__w", "lang")
     out = {r["doc_id"]: r for r in decontaminate.remove_leaks(docs, spark.createDataFrame([(1, leak)], "item_id long, text string")).collect()}
     assert sorted(out) == [1, 3, 4]
     assert out[1]["text"] == f"{filler}\n({filler}"
@@ -84,3 +83,27 @@ def test_passages_of_items_without_id_are_removed_too(spark):
     docs = spark.createDataFrame([(1, f"{filler} {leak}"), (2, f"pre {leak} post"), (3, "clean")], "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in decontaminate.remove_leaks(docs, spark.createDataFrame([(None, leak)], "item_id long, text string")).collect()}
     assert set(out) == {1, 3} and "q5" not in out[1]
+
+
+CLASHING = ("__id", "__hit", "__w", "__th", "__n_hit", "id", "th", "hit", "row", "w", "g", "stay", "a`b", "a.b", "block", "s", "node", "none", "r")
+
+
+@pytest.mark.parametrize("stage", ["decontaminate", "near_dedup", "mix", "groups"])
+def test_other_columns_of_any_name_come_through(spark, stage):
+    from voxloom.llm import mixing, near_copies, simhash
+
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(k, t, f"src{k % 2}", *[f"{n} {k}" for n in CLASHING]) for k, t in enumerate(words)]
+    kinds = "doc_id long, text string, source string, " + ", ".join("`" + n.replace("`", "``") + "` string" for n in CLASHING)
+    docs, bench = spark.createDataFrame(rows, kinds), spark.createDataFrame([(1, "none of these")], "item_id long, text string")
+    run = {
+        "decontaminate": lambda: decontaminate.remove_leaks(docs, bench), "near_dedup": lambda: near_copies.one_of_each_text(docs),
+        "mix": lambda: mixing.mixed_documents(docs), "groups": lambda: simhash.one_of_each_group(docs),
+    }
+    out = run[stage]()
+    assert out.schema.names == docs.schema.names and out.dtypes == docs.dtypes
+    assert {tuple(r) for r in out.collect()} == set(rows)
+
+
+def test_line_dedup_without_rows(no_docs):
+    assert line_dedup.drop_repeated_lines(no_docs).count() == 0

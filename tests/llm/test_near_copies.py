@@ -54,3 +54,49 @@ def test_rows_with_null_and_repeated_ids_stay_if_their_texts_differ(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = [(r["doc_id"], r["text"]) for r in nc.one_of_each_text(df).collect()]
     assert sorted(got, key=str) == sorted([(7, y), rows[2], (None, z), (None, u), (9, None), next(g for g in got if g[0] == 4)], key=str)
+
+
+def test_large_families_and_buckets_are_dealt_in_parts(spark):
+    from voxloom.llm import simhash
+    from voxloom.llm.shared import Workspace
+
+    rng = random.Random(8)
+    base = prose(rng, 120)
+    texts = [edited(rng, base, rng.randint(0, 3)) for _ in range(60)] + [prose(rng, 90) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets, root = [plain(t) for t in texts], list(range(80))
+    for i in range(80):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert sorted(r["doc_id"] for r in nc.one_of_each_text(df, block=8).collect()) == sorted(set(root)) and 20 < len(set(root)) < 60
+    fps = [simhash.wide_fingerprint(nc.shingles(t)[1]) for t in texts]
+    nodes = spark.createDataFrame(list(enumerate(map(bytearray, fps))), "node long, fp binary")
+    close = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b)) <= 56
+    near = [(a, b) for a in range(80) for b in range(a) if close(fps[a], fps[b])]
+    for block in (1 << 16, 16):
+        got = simhash.components(simhash.wide_links(nodes, 56, Workspace(spark, "t"), block=block), Workspace(spark, "t"))
+        root = {r["node"]: r["root"] for r in got.collect()}
+        assert all(root.get(a, a) == root.get(b, b) for a, b in near)
+        assert all(any(root.get(a, a) == root.get(b, b) for b in range(80) if b != a and ((a, b) in near or (b, a) in near)) for a in root)
+
+
+def test_comparison_along_the_rows_and_from_link_to_link_agree():
+    from voxloom.llm import simhash
+
+    rng = np.random.default_rng(2)
+    for n, radius in ((1, 3), (2, 0), (70, 20), (300, 26), (300, 0)):
+        fps = rng.integers(0, 256, (n, 8), np.uint8)
+        fps[rng.random((n, 8)) < 0.6] = 7
+        far = np.bitwise_count(fps[:, None] ^ fps[None]).sum(2)
+        i, j = simhash.neighbours_linked(fps, np.zeros(n, int), radius, n + 1)
+        assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a in range(n) for b in range(a + 1, n) if far[a, b] <= radius}
+        root = list(range(n))
+        for a in range(n):
+            for b in range(a):
+                if far[a, b] <= radius and root[a] != root[b]:
+                    root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+        u, v = simhash.stars(fps, radius)
+        got = np.arange(n)
+        got[v] = u
+        assert got.tolist() == root

@@ -1,7 +1,7 @@
 """Quality classifier by co-training.
 
-Two logistic models see a document from two sides: its content (byte-pair profile, word statistics) and its
-page data (source, language, size, layout). Both start from labelled rows; in each round each gives the other
+Two logistic models see a document from two sides: its content (byte-pair profile, statistics of words and lines)
+and its page data (the columns source, lang and n_chars; nothing of the text). Both start from labelled rows; in each round each gives the other
 those unlabelled documents it is sure of. Held-out labelled rows then calibrate each (Platt) and weigh the two
 calibrated log-odds into one score. Every document is scored on its whole text.
 
@@ -28,14 +28,16 @@ from pyspark.sql import functions as F
 
 from .shared import release, worker
 
-PAIRS, SOURCES, LANGS = 512, 32, 8
+PAIRS, WORDS, LINES = 512, 10, 7
+SOURCES, LANGS, SIZES = 32, 8, 24
 #: Of the labelled sample at least one in so many is of the rarer kind, where there are as many.
 LEAST = 20
 #: Features count up to so many standard deviations, lest a short text's odd profile decides alone.
 FAR = 4.0
 #: Log-odds up to which one view can speak against the other.
 SURE = 5.0
-TEXT, META = slice(0, PAIRS + 10), slice(PAIRS + 10, PAIRS + 10 + SOURCES + LANGS + 8)
+TEXT = slice(0, PAIRS + WORDS + LINES)
+META = slice(TEXT.stop, TEXT.stop + SOURCES + LANGS + SIZES + 1)
 
 
 def features(text: str | None, source: str | None, lang: str | None, n_chars: int | None):
@@ -52,22 +54,33 @@ def features(text: str | None, source: str | None, lang: str | None, n_chars: in
     if words:
         seen, n, by_byte = Counter(words), len(words), np.bincount(b, minlength=256)
         letters = by_byte[65:91].sum() + by_byte[97:123].sum() + by_byte[128:].sum()
-        out[PAIRS : PAIRS + 10] = (
+        out[PAIRS : PAIRS + WORDS] = (
             len(seen) / n, np.log1p(n), max(seen.values()) / n, sum(map(eq, words, words[1:])) / n, len(raw) / n,
             by_byte[65:91].sum() / len(b), by_byte[48:58].sum() / len(b), letters / len(b),
             (by_byte[33:48].sum() + by_byte[58:65].sum() + by_byte[91:97].sum() + by_byte[123:127].sum()) / len(b),
             sum(n == 1 for n in seen.values()) / n,
         )
-    at = META.start
-    out[at + zlib.crc32(repr(source).encode()) % SOURCES] = 1
-    out[at + SOURCES + zlib.crc32(repr(lang).encode()) % LANGS] = 1
     lines = text.split("\n")
     n = len(text)
     lengths = np.array([len(x) for x in lines])
-    out[at + SOURCES + LANGS : META.stop] = (
-        np.log1p(n if n_chars is None else max(0, n_chars)), np.log1p(len(lines)), np.log1p(lengths.mean()), np.log1p(lengths.max()),
+    out[PAIRS + WORDS : TEXT.stop] = (
+        np.log1p(len(lines)), np.log1p(lengths.mean()), np.log1p(lengths.max()),
         sum(x[-1:] in ".!?" for x in lines) / len(lines), sum(x[:1].isupper() for x in lines) / len(lines), text.count(" ") / max(1, n), lengths.std() / (1 + lengths.mean()),
     )
+    out[META] = page_data(source, lang, n_chars)
+    return out
+
+
+def page_data(source: str | None, lang: str | None, n_chars: int | None):
+    """The view of the page's columns alone: hashed source and language, size by powers of two (null for itself) and by its logarithm."""
+    import numpy as np
+
+    out = np.zeros(META.stop - META.start, np.float32)
+    out[zlib.crc32(repr(source).encode()) % SOURCES] = 1
+    out[SOURCES + zlib.crc32(repr(lang).encode()) % LANGS] = 1
+    size = 0 if n_chars is None else min(SIZES - 1, 1 + max(0, n_chars).bit_length())
+    out[SOURCES + LANGS + size] = 1
+    out[-1] = 0 if n_chars is None else np.log1p(max(0, n_chars))
     return out
 
 

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace, ascii_lower, doc_id, null_id
+from .shared import Workspace, ascii_lower, doc_id, names_of, null_id
 
 #: What is between words, in lower-cased text.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -116,7 +116,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, work: Workspace, *, n:
     spans = spans.withColumn("done", F.coalesce(F.max("stop").over(order), F.lit(0)))
     spans = spans.select("id", "th", F.greatest("start", "done").alias("start"), "stop").filter(F.col("stop") > F.col("start"))
     n_hit = spans.groupBy("id", "th").agg(F.sum(F.col("stop") - F.col("start")).alias("n_hit"))
-    items = found.select("id", "th", "len", "win").distinct().join(windows, ["len", "win"]).groupBy("id", "th").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    hit = work.keep(found.select("id", "th", "len", "win").distinct(), "hit-windows")
+    # in blocks of a bounded size, so a window that many documents have is not one task's
+    blocks = _blocks(windows, F.xxhash64("item_id", "win"), windows.count(), block_rows)
+    named = reduce(DataFrame.unionByName, [hit.join(F.broadcast(b), ["len", "win"]).select("id", "th", "item_id") for b in blocks])
+    items = named.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     return n_hit.join(items, ["id", "th"]), spans
 
 
@@ -142,21 +146,25 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, share: i
     """
     work = Workspace(docs.sparkSession, "decontaminate")
     per_doc, spans = contamination(docs.select("doc_id", "text"), benchmark, work, n=n, block_rows=block_rows, unnamed=True)
-    cut = spans.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("stop") - 1)))).alias("__hit"))
-    cut = cut.join(per_doc.select("id", "th", "n_hit"), ["id", "th"]).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__hit", F.col("n_hit").alias("__n_hit"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumns({"__id": doc_id(), "__th": F.xxhash64(text)}).join(cut, ["__id", "__th"], "left")
+    cut = spans.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("stop") - 1)))).alias("hit"))
+    cut = cut.join(per_doc.select("id", "th", "n_hit"), ["id", "th"])
+    # a row is one struct here, so its columns meet none of these names
+    rows = docs.select(F.struct(*names_of(docs)).alias("row"), doc_id().alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).join(cut, ["id", "th"], "left")
+    changed, text = F.col("hit").isNotNull(), F.col("row.text")
     none = F.expr("cast(null as array<string>)")
-    rows = rows.withColumn("__w", F.when(F.col("__hit").isNotNull(), F.regexp_extract_all("text", F.lit(RAW_WORD), F.lit(0))).otherwise(none))
-    rows = rows.withColumn("__g", F.when(F.col("__hit").isNotNull(), _gaps(F.col("text"))).otherwise(none))
-    rows = rows.filter(F.col("__hit").isNull() | (share * F.col("__n_hit") < F.size("__w")))
-    rows = rows.withColumn("__stay", F.array_except(F.sequence(F.lit(0), F.size("__w") - 1), "__hit"))
-    cut_text = F.concat(F.col("__g")[0], F.array_join(F.transform("__stay", lambda i: F.concat(F.col("__w")[i], F.col("__g")[i + 1])), ""))
-    changed = F.col("__hit").isNotNull()
-    sets = {"text": F.when(changed, cut_text).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        sets["n_chars"] = F.when(changed, F.length(cut_text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return rows.withColumns(sets).select(*[f"`{c}`" for c in docs.columns])
+    rows = rows.select("row", "hit", "n_hit", F.when(changed, F.regexp_extract_all(text, F.lit(RAW_WORD), F.lit(0))).otherwise(none).alias("w"), F.when(changed, _gaps(text)).otherwise(none).alias("g"))
+    rows = rows.filter(~changed | (share * F.col("n_hit") < F.size("w")))
+    rows = rows.withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size("w") - 1), "hit"))
+    cut_text = F.concat(F.col("g")[0], F.array_join(F.transform("stay", lambda i: F.concat(F.col("w")[i], F.col("g")[i + 1])), ""))
+    out = []
+    for name, column in zip(docs.columns, names_of(docs), strict=True):
+        now = F.col(f"row.{column}")
+        if name == "text":
+            now = F.when(changed, cut_text).otherwise(now)
+        elif name == "n_chars":
+            now = F.when(changed, F.length(cut_text)).otherwise(now).cast(docs.schema[name].dataType)
+        out.append(now.alias(name))
+    return rows.select(*out)
 
 
 def _gaps(text: Column) -> Column:

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace, doc_id, null_id
+from .shared import Workspace, doc_id, names_of, null_id
 
 SEED = 2024
 
@@ -144,8 +144,7 @@ def mixed_documents(docs: DataFrame, *, blocks: int = 4096, broadcast_rows: int
     work = Workspace(docs.sparkSession, "mix")
     _, plan, n = mix_plan(docs, work, blocks=blocks, broadcast_rows=broadcast_rows, **how)
     plan = F.broadcast(plan) if n <= broadcast_rows else plan
-    names = [f"`{c}`" for c in docs.columns]
     ident, th = doc_id(), F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.select(F.struct(*names).alias("row"), ident.alias("id"), th.alias("th"), F.coalesce("source", F.lit("")).alias("s"))
+    rows = docs.select(F.struct(*names_of(docs)).alias("row"), ident.alias("id"), th.alias("th"), F.coalesce("source", F.lit("")).alias("s"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "th"), F.lit(blocks)).cast("int")).join(plan, "s")
     return rows.select("row", F.explode(_copies(F.col("block"), F.col("id"), F.col("th"))).alias("pass")).select("row.*")

@@ -1,29 +1,30 @@
-"""Near copies by the Jaccard index of word shingles: MinHash proposes, exact shingle sets decide.
+"""Near copies by SimHash of word shingles, with an exact check: the near-dedup of pipeline stages.
 
 A text is a node, told by the hash of its lower-cased words; a text's set is its distinct runs of ``size`` words
-(a shorter text is one run). Texts that agree in all ``ROWS`` minima of some of ``BANDS`` bands are proposed: two
-texts of index 0.8 are missed by all bands once in 190,000 times, those of 0.85 once in 160 million. Proposals
-are joined to families, a family's texts are gathered once, and within it every text that is reached looks for
-all others through an inverted index, so links are exact: ``100 * common >= percent * united``, in integers.
-A family is held by one task: eight bytes for each of its words, and a place in the index.
+(a shorter text is one run). The set's wide fingerprint proposes (``simhash.wide_links``: bit planes in buckets of
+sampled bits): fingerprints of sets with a Jaccard index of 0.8 differ in 39 of 256 bits, give or take 6, those of
+unrelated sets in 128, give or take 8. Proposed are differences of up to 56 bits; pairs of index 0.8 are missed 1 in 100
+times (no table of bits agrees), of 0.85 1 in 2,000, of 0.9 less than 1 in 100,000, unless a third text links them.
+Proposals are joined to families, and a family's texts are compared by their exact sets through an inverted index:
+``100 * common >= percent * united``, in integers. A family of more than ``block`` texts is dealt into parts every two
+of which meet in one task, so a task holds at most that many, eight bytes for each of their words.
 
 Defined results: null and blank texts are copies of each other; of each linked group the row of the least id
-stays, rows without id last; rows are told apart by id and text, so rows that share an id or have none are
-one document only if their texts are linked.
+stays, rows without id last; rows are told apart by id, text and their other columns, so rows that share an id or
+have none are one document only if their texts are linked; of rows that are equal all through one stays.
 """
 
 from __future__ import annotations
 
-from functools import cache
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, doc_id, worker
-from .simhash import SEED, components
+from .shared import Workspace, doc_id, names_of, worker
+from .simhash import SEED, WIDE, components, wide_fingerprint, wide_links, wide_radius
 
-WORDS, PERCENT, BANDS, ROWS = 5, 80, 40, 6
+WORDS, PERCENT, BLOCK = 5, 80, 4096
 
 
 def shingles(text: str | None, size: int = WORDS):
@@ -39,51 +40,23 @@ def shingles(text: str | None, size: int = WORDS):
     return digest(joined, SEED), np.unique(found)
 
 
-@cache
-def _factors():
-    import numpy as np
-
-    rng = np.random.default_rng(SEED)
-    odd = lambda *shape: rng.integers(0, 2**63, shape, np.uint64) * np.uint64(2) + np.uint64(1)
-    return odd(BANDS * ROWS, 1), odd(BANDS * ROWS, 1), odd(BANDS, ROWS)
-
-
-def band_keys(found):
-    """A key for each band of a set's minima."""
-    import numpy as np
-
-    if not len(found):
-        return np.zeros(0, np.uint64)
-    odd, add, mix = _factors()
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(found), 2048):
-        np.minimum(least, (odd * found[None, at : at + 2048] + add).min(1), out=least)
-    return (least.reshape(BANDS, ROWS) * mix).sum(1, dtype=np.uint64)
-
-
-def sketches(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """``id, none, t, node, keys``: whether there is no id, hashes of text and words, keys of the bands."""
+def sketches(rows: DataFrame, size: int = WORDS) -> DataFrame:
+    """``none, id, r, node, fp`` from ``none, id, r, text``: hash of the text's words, and its set's fingerprint."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            nodes, keys = [], []
-            for t in b["text"].to_pylist():
-                node, found = shingles(t, size)
-                nodes.append(node)
-                keys.append(band_keys(found).view(np.int64))
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([b["id"], b["none"], b["t"], pa.array(np.array(nodes, np.uint64).view(np.int64)), lists], ["id", "none", "t", "node", "keys"])
-
-    rows = docs.select(doc_id().alias("id"), F.col("doc_id").isNull().alias("none"), _text_hash().alias("t"), "text")
-    return rows.mapInArrow(worker(run), "id long, none boolean, t long, node long, keys array<long>")
+            for at in range(0, b.num_rows, 1024):
+                part, nodes, fps = b.slice(at, 1024), [], []
+                for t in part["text"]:
+                    node, found = shingles(t.as_py(), size)
+                    nodes.append(node)
+                    fps.append(wide_fingerprint(found, WIDE))
+                yield pa.RecordBatch.from_arrays([part["none"], part["id"], part["r"], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(fps, pa.binary())], ["none", "id", "r", "node", "fp"])
 
-
-def _text_hash():
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+    return rows.mapInArrow(worker(run), "none boolean, id long, r long, node long, fp binary")
 
 
 def linked_sets(sets: list, percent: int = PERCENT):
@@ -117,7 +90,7 @@ def linked_sets(sets: list, percent: int = PERCENT):
 
 
 def verified(family_texts: DataFrame, *, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``node, group`` from ``family, node, text``, sorted by family: groups that exact links join."""
+    """``u, v`` from ``family, part, node, text``, sorted by the first two: stars of the groups that exact links join."""
 
     def run(batches):
         import numpy as np
@@ -126,38 +99,48 @@ def verified(family_texts: DataFrame, *, size: int = WORDS, percent: int = PERCE
         family, nodes, sets = None, [], []
 
         def done():
-            groups = [nodes[k] for k in linked_sets(sets, percent)]
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(groups, pa.int64())], ["node", "group"])
+            to = linked_sets(sets, percent)
+            own = np.array(nodes, np.int64)
+            more = to != np.arange(len(to))
+            return pa.RecordBatch.from_arrays([pa.array(own[to[more]]), pa.array(own[more])], ["u", "v"])
 
         for b in batches:
-            for f, node, text in zip(b["family"].to_pylist(), b["node"].to_pylist(), b["text"], strict=True):
-                if f != family and nodes:
+            for f, p, node, text in zip(b["family"].to_pylist(), b["part"].to_pylist(), b["node"].to_pylist(), b["text"], strict=True):
+                if (f, p) != family and nodes:
                     yield done()
                     nodes, sets = [], []
-                family = f
+                family = f, p
                 nodes.append(node)
                 sets.append(shingles(text.as_py(), size)[1])
         if nodes:
             yield done()
 
-    return family_texts.select("family", "node", "text").mapInArrow(worker(run), "node long, group long")
+    return family_texts.select("family", "part", "node", "text").mapInArrow(worker(run), "u long, v long")
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    """Tells rows apart by all columns that can be hashed."""
+    fits = [F.col(n) for n, kind in zip(names_of(docs), (t for _, t in docs.dtypes), strict=True) if "map<" not in kind and "variant" not in kind]
+    return F.xxhash64(*fits)
 
 
-def one_of_each_text(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def one_of_each_text(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """``docs`` with one row of each group of near copies."""
     work = Workspace(docs.sparkSession, "near_copies")
-    rows = work.keep(sketches(docs.select("doc_id", "text"), size), "sketches")
-    order = F.struct("none", "id", "t")
-    keys = rows.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
-    least = F.first("node").over(Window.partitionBy("key").orderBy("node"))
-    edges = keys.withColumn("least", least).filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
-    joined = components(edges, work)
-    families = work.keep(joined.select("node", F.col("root").alias("family")).unionByName(joined.select(F.col("root").alias("node"), F.col("root").alias("family")).distinct()), "families")
-    wanted = rows.join(families, "node").groupBy("node", "family").agg(F.min(order).alias("o")).select("node", "family", F.col("o.id").alias("__id"), F.col("o.t").alias("__t"))
-    texts = docs.select(doc_id().alias("__id"), _text_hash().alias("__t"), "text").join(wanted, ["__id", "__t"]).select("family", "node", "text").dropDuplicates(["node"])
-    groups = work.keep(verified(texts.repartition("family").sortWithinPartitions("family", "node"), size=size, percent=percent), "groups")
-    group = F.coalesce("group", "node").alias("group")
-    keep = rows.select("none", "id", "t", "node").join(groups, "node", "left").groupBy(group).agg(F.min(order).alias("o"))
-    keep = work.keep(keep.select(F.col("o.id").alias("__id"), F.col("o.t").alias("__t")).distinct(), "keep")
-    found = docs.withColumns({"__id": doc_id(), "__t": _text_hash()}).join(keep, ["__id", "__t"], "left_semi").dropDuplicates(["__id", "__t"])
-    return found.select(*[f"`{c}`" for c in docs.columns])
+    every = docs.select(F.struct(*names_of(docs)).alias("row"), doc_id().alias("id"), F.col("doc_id").isNull().alias("none"), _row_hash(docs).alias("r"), "text")
+    rows = work.keep(sketches(every.select("none", "id", "r", "text"), size), "sketches")
+    order = F.struct("none", "id", "r")
+    nodes = work.keep(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min(order).alias("o")), "nodes")
+    joined = components(wide_links(nodes, wide_radius(percent / 100), work), work)
+    families = joined.select("node", F.col("root").alias("family")).unionByName(joined.select(F.col("root").alias("node"), F.col("root").alias("family")).distinct())
+    sizes = families.groupBy("family").agg(F.count("*").alias("n"))
+    parts = F.when(F.col("n") > block, F.ceil(2 * F.col("n") / block)).otherwise(1).cast("int")
+    wanted = work.keep(nodes.join(families, "node").join(sizes, "family").select("node", "family", parts.alias("parts"), "o.id", "o.r"), "families")
+    texts = every.select("id", "r", "text").join(wanted, ["id", "r"]).select("family", "parts", "node", "text").dropDuplicates(["node"])
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(k, own) * F.col("parts") + F.greatest(k, own))
+    texts = texts.select("family", F.explode(meet).alias("part"), "node", "text").repartition("family", "part").sortWithinPartitions("family", "part", "node")
+    groups = components(verified(texts, size=size, percent=percent), work)
+    firsts = nodes.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("o").alias("o"))
+    keep = work.keep(firsts.select("o.id", "o.r").distinct(), "keep")
+    return every.select("row", "id", "r").join(keep, ["id", "r"], "left_semi").dropDuplicates(["id", "r"]).select("row.*")

@@ -170,6 +170,11 @@ def null_id(c: Column) -> Column:
     return F.when(c != NULL_ID, c)
 
 
+def names_of(df: DataFrame) -> list[str]:
+    """The columns' names as references, whatever characters are in them."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

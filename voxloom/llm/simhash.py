@@ -4,10 +4,15 @@ A fingerprint has a bit set where over half the XXH64 (seed 42) of the text's wo
 fingerprints are one node. Two that differ in ``radius`` bits or fewer agree in all but ``radius`` of eight
 bytes, so each goes, once for every choice of the bytes that agree, to a bucket of those: every link is found
 in some bucket, and a bucket holds at most 2^16 distinct fingerprints (radius 2), however the documents are
-spread. Within a bucket only the free bits are compared, stored as vertical bit planes: a plane's word holds
-that bit of 64 fingerprints, differences are summed by carry-save counters for 64 at once, and a block is
-given up once all of it exceeds the radius. A bucket reports a star for each of its linked groups, not its
-pairs. Stars of all buckets are joined to components by alternating large-star and small-star steps.
+spread. Within a bucket only the free bits
+are compared, stored as vertical bit planes: a plane's word holds that bit of 64 fingerprints, differences are
+summed by carry-save counters for 64 at once, and words are given up once all of them exceed the radius. Buckets
+of a few rows are compared together, each row with those after it in its bucket, by shifting the planes of the
+whole batch; larger ones row by row from link to link, where each linked group becomes a star, not its pairs.
+Edges of all buckets are joined to components by alternating large-star and small-star steps.
+
+``wide_links`` does the same for fingerprints of 256 bits and large radii, as sets of shingles of a Jaccard index of
+0.8 need them: there no choice of bytes has to agree, so buckets are tables of sampled bits.
 
 Defined results: null and blank texts have fingerprint zero and link like any other; a null id counts as one
 document below all others and is reported as null; rows of one id each get their own fingerprint and one
@@ -21,11 +26,9 @@ from itertools import accumulate, combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, doc_id, null_id, worker
+from .shared import NULL_ID, Workspace, doc_id, names_of, null_id, worker
 
 SEED, RADIUS, WORDS = 42, 2, 3
-#: Buckets of at most so many are compared place by place.
-SMALL = 8
 
 
 def fingerprint(text: str | None, size: int = WORDS) -> int:
@@ -60,63 +63,65 @@ def fingerprints(docs: DataFrame, size: int = WORDS) -> DataFrame:
     return docs.select(doc_id().alias("id"), "text").mapInArrow(worker(run), "id long, fp long")
 
 
-def linked(fps, radius: int, planes: list[int]):
-    """Stars ``(from, to)`` of the groups that links join among distinct fingerprints of one bucket, by bit planes."""
+def planes_of(fps):
+    """Bit planes of fingerprints, one row of bytes for each of them: a plane's word holds that bit of 64 rows."""
     import numpy as np
 
-    n = len(fps)
-    width = -(-n // 64)
-    every = np.uint64(2**64 - 1)
-    sliced = np.zeros((len(planes), width), np.uint64)
-    bits = np.zeros((len(planes), n), bool)
-    for k, p in enumerate(planes):
-        bits[k] = (fps >> np.uint64(p)) & np.uint64(1)
-        packed = np.packbits(bits[k], bitorder="little")
-        sliced[k].view(np.uint8)[: len(packed)] = packed
-    waiting = np.zeros(width, np.uint64)
-    waiting.view(np.uint8)[: -(-n // 8)] = np.packbits(np.ones(n, np.uint8), bitorder="little")
-    n_counters = radius.bit_length()
-    low, high, at = [], [], 0
-    while at < n:
-        if not waiting[at // 64] >> np.uint64(at % 64) & np.uint64(1):
-            at += 1
-            continue
-        root, front = at, np.array([at])
-        waiting[at // 64] &= ~(np.uint64(1) << np.uint64(at % 64))
-        while len(front):
-            hit = np.zeros(width, np.uint64)
-            step = max(1, 500_000 // width)
-            for a in range(0, len(front), step):
-                own = front[a : a + step]
-                live = np.flatnonzero(waiting)  # blocks of 64 that may still hold someone
-                sums = [np.zeros((len(own), len(live)), np.uint64) for _ in range(n_counters)]
-                over = np.zeros((len(own), len(live)), np.uint64)
-                for k in range(len(planes)):
-                    carry = sliced[k][live] ^ np.where(bits[k][own], every, np.uint64(0))[:, None]
-                    for s in sums:
-                        s ^= carry
-                        carry = carry & ~s
-                    over |= carry
-                    if k % 4 == 3:
-                        stay = (~_above(sums, over, radius) & waiting[live]).any(0)
-                        if not stay.all():
-                            live, over, sums = live[stay], over[:, stay], [s[:, stay] for s in sums]
-                        if not len(live):
-                            break
-                if len(live):
-                    hit[live] |= np.bitwise_or.reduce(~_above(sums, over, radius), axis=0)
-            hit &= waiting
-            waiting &= ~hit
-            front = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little")[:n])
-            low += [root] * len(front)
-            high += front.tolist()
-    return fps[low], fps[high]
+    n, width = len(fps), -(-len(fps) // 64)
+    planes = np.zeros((8 * fps.shape[1], 8 * width), np.uint8)
+    for at in range(0, n, 1 << 14):
+        bits = np.unpackbits(fps[at : at + (1 << 14)], axis=1, bitorder="little")
+        packed = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
+        planes[:, at // 8 : at // 8 + packed.shape[1]] = packed
+    return planes.view(np.uint64)
 
 
-def _above(sums, over, radius: int):
-    """Where the bit-sliced count exceeds the radius."""
+def _flags(some, width: int):
+    """A word with a bit for each of 64 booleans."""
+    import numpy as np
+
+    out = np.zeros(8 * width, np.uint8)
+    packed = np.packbits(some, bitorder="little")
+    out[: len(packed)] = packed
+    return out.view(np.uint64)
+
+
+def _numbers(words, n: int):
+    import numpy as np
+
+    return np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little")[:n])
+
+
+def _within(planes, radius: int, wanted):
+    """Where ``planes`` (of differing bits; a function of plane and words gives them) count ``radius`` or fewer, among
+    ``wanted``. Carry-save counters sum 64 places at once; words are given up once all of them exceed the radius."""
     import numpy as np
 
+    get, n_planes = planes
+    live = np.flatnonzero(wanted.any(0) if wanted.ndim > 1 else wanted)
+    shape = (*wanted.shape[:-1], len(live))
+    sums, over = [np.zeros(shape, np.uint64) for _ in range(radius.bit_length())], np.zeros(shape, np.uint64)
+    for k in range(n_planes):
+        if not len(live):
+            break
+        carry = get(k, live)
+        for c in sums:
+            both = c & carry
+            c ^= carry
+            carry = both
+        over |= carry
+        if k % 8 == 7 or k == n_planes - 1:
+            stay = ~_above(sums, over, radius) & wanted[..., live]
+            stay = stay.any(0) if stay.ndim > 1 else stay != 0
+            if not stay.all():
+                live, over, sums = live[stay], over[..., stay], [c[..., stay] for c in sums]
+    out = np.zeros(wanted.shape, np.uint64)
+    out[..., live] = ~_above(sums, over, radius) & wanted[..., live]
+    return out
+
+
+def _above(sums, over, radius: int):
+    """Where the bit-sliced count exceeds the radius."""
     above, equal = over.copy(), ~over
     for k in range(len(sums) - 1, -1, -1):
         if radius >> k & 1:
@@ -124,62 +129,234 @@ def _above(sums, over, radius: int):
         else:
             above |= equal & sums[k]
             equal = equal & ~sums[k]
-    return above if radius else np.bitwise_or.reduce([over, *sums])
+    return above
+
+
+def neighbours_linked(fps, bucket, radius: int, most: int):
+    """Places ``i, j`` of all links within buckets of at most ``most`` rows; ``bucket`` numbers them in ascending order.
+
+    Rows at a distance of 1, 2, ... are compared all along the planes, shifted by that distance."""
+    import numpy as np
+
+    found = [], []
+    step = 1 << 16
+    size = np.bincount(bucket, minlength=1)[bucket] if len(bucket) else np.zeros(0, np.int64)
+    for at in range(0, len(fps), step):
+        own, sizes = bucket[at : at + step + most], size[at : at + step + most]
+        planes = planes_of(fps[at : at + step + most])
+        width = planes.shape[1]
+        for o in range(1, min(most, len(own))):
+            same = (own[o:] == own[:-o]) & (sizes[:-o] <= most)
+            same[step:] = False
+            if not same.any():
+                break
+            words, r = divmod(o, 64)
+
+            def differ(k, live, words=words, r=r, planes=planes, width=width):
+                plane = planes[k]
+                there = plane[np.minimum(live + words, width - 1)] >> np.uint64(r)
+                if r:
+                    there |= plane[np.minimum(live + words + 1, width - 1)] << np.uint64(64 - r)
+                return plane[live] ^ there
+
+            i = _numbers(_within((differ, len(planes)), radius, _flags(same, width)), len(own))
+            found[0].append(at + i)
+            found[1].append(at + i + o)
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in found)
+
+
+def stars(fps, radius: int):
+    """Places ``root, member`` of the groups that links join among the rows of one bucket."""
+    import numpy as np
+
+    bits = np.unpackbits(fps, axis=1, bitorder="little").T
+    every, n = np.uint64(2**64 - 1), len(fps)
+    rest, roots, members = np.arange(n), [], []
+    packed, waiting, planes = rest, None, None
+    while len(rest):
+        if waiting is None or 2 * len(rest) < len(packed):  # those that still wait, close together
+            packed, planes = rest, planes_of(fps[rest])
+            waiting = _flags(np.ones(len(rest), bool), planes.shape[1])
+        k = int(np.searchsorted(packed, rest[0]))
+        waiting[k // 64] &= ~(np.uint64(1) << np.uint64(k % 64))
+        root, front = rest[0], rest[:1]
+        while len(front) and waiting.any():
+            reached, step = [], max(1, 200_000 // len(waiting))
+            for a in range(0, len(front), step):
+                own = bits[:, front[a : a + step]].astype(bool)
+
+                def differ(k, live, own=own, planes=planes):
+                    return planes[k][live] ^ np.where(own[k], every, np.uint64(0))[:, None]
+
+                hit = np.bitwise_or.reduce(_within((differ, len(planes)), radius, np.broadcast_to(waiting, (own.shape[1], len(waiting)))), axis=0)
+                waiting &= ~hit
+                reached.append(packed[_numbers(hit, len(packed))])
+            front = np.concatenate(reached)
+            roots.append(np.full(len(front), root))
+            members.append(front)
+        rest = packed[_numbers(waiting, len(packed))]
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (roots, members))
+
+
+def linked(fps, radius: int, planes: list[int]):
+    """Stars ``(from, to)`` of the groups that links join among distinct 64-bit fingerprints that agree but for ``planes``."""
+    import numpy as np
+
+    u, v = stars(_bytes_of(fps, planes), radius)
+    return fps[u], fps[v]
+
+
+def _bytes_of(fps, planes: list[int]):
+    """The bytes of 64-bit fingerprints that hold these planes."""
+    import numpy as np
+
+    return np.ascontiguousarray(fps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, sorted({p // 8 for p in planes})])
+
+
+#: Buckets of more rows than that are searched from one fingerprint to the next, others by shifted planes. Both find every link.
+ALONG = 48
+
+
+def _whole_groups(batches, names, keys: int):
+    """Arrays of the columns ``names`` that never end within a group, rows that agree in the first ``keys`` of them."""
+    import numpy as np
+
+    held = None
+    for b in batches:
+        now = [b[c].to_numpy(zero_copy_only=False) if c != "fp" or b[c].type != "binary" else _matrix(b[c]) for c in names]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        if not len(now[0]):
+            continue
+        cut = int(np.flatnonzero(np.logical_and.reduce([x == x[-1] for x in now[:keys]]))[0])
+        if cut:
+            yield [x[:cut] for x in now]
+        held = [x[cut:] for x in now]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def _matrix(column):
+    """Rows of bytes of a binary column whose values are equally long."""
+    import numpy as np
+
+    if not len(column):
+        return np.zeros((0, 0), np.uint8)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(column), -1)
+
+
+def _edges(fps, starts, sizes, radius: int):
+    """Places ``i, j`` that join the same rows as all links within the groups do; ``fps`` are rows of bytes."""
+    import numpy as np
+
+    i, j = neighbours_linked(fps, np.repeat(np.arange(len(starts)), sizes), radius, ALONG)
+    u, v = [i], [j]
+    for g in np.flatnonzero(sizes > ALONG):
+        x, y = stars(fps[starts[g] : starts[g] + sizes[g]], radius)
+        u.append(x + starts[g])
+        v.append(y + starts[g])
+    return np.concatenate(u), np.concatenate(v)
 
 
 def bucket_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``u, v``: stars that join the same fingerprints as all links of at most ``radius`` bits do."""
+    """``u, v``: edges that join the same fingerprints as all links of at most ``radius`` bits do."""
     choices = list(combinations(range(8), 8 - radius))
     masks = [sum(0xFF << 8 * b for b in c) for c in choices]
+    free = [[b for b in range(8) if b not in c] for c in choices]
     signed = lambda m: m - 2**64 if m >= 2**63 else m
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("key")) for k, m in enumerate(masks)])
     rows = fps.select("fp", F.explode(keys).alias("b")).select("b.k", "b.key", "fp")
     rows = rows.repartition("k", "key").sortWithinPartitions("k", "key", "fp")
 
-    def whole_buckets(batches):
-        """Arrays ``k, key, fp`` that never end within a bucket."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        of_choice = np.array(free)
+        for k, key, fp in _whole_groups(batches, ("k", "key", "fp"), 2):
+            first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (key[1:] != key[:-1])])
+            sizes = np.diff(np.r_[first, len(k)])
+            raw = np.take_along_axis(fp.astype("<i8").view(np.uint8).reshape(-1, 8), of_choice[k], 1)  # the rest is equal
+            i, j = _edges(raw, first, sizes, radius)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], ["u", "v"])
+
+    return rows.mapInArrow(worker(run), "u long, v long")
+
+
+#: Wide fingerprints: bits, tables of sampled bits, bits in a table's key; rows of a bucket that meet in one task.
+WIDE, TABLES, KEY_BITS, BLOCK = 256, 64, 16, 1 << 16
+
+
+def wide_radius(similarity: float, bits: int = WIDE) -> int:
+    """Bits by which the fingerprints of two sets of that Jaccard index differ at most, but for one in 700 pairs."""
+    from math import acos, pi, sqrt
+
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return int(bits * p + 3 * sqrt(bits * p * (1 - p)))
+
+
+def wide_fingerprint(hashes, bits: int = WIDE):
+    """Bytes of the fingerprint of a set of 64-bit hashes: a bit is 1 if set in over half of them."""
+    import numpy as np
+
+    words, count = bits // 64, np.zeros(bits, np.int64)
+    for at in range(0, len(hashes), 1 << 13):
+        h = hashes[at : at + (1 << 13), None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> np.uint64(shift)) * np.uint64(factor)
+        h ^= h >> np.uint64(31)
+        count += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * count > len(hashes), bitorder="little").tobytes()
+
+
+def wide_links(nodes: DataFrame, radius: int, work: Workspace, *, tables: int = TABLES, key_bits: int = KEY_BITS, block: int = BLOCK) -> DataFrame:
+    """``u, v``: edges between ``nodes`` (``node``, ``fp`` of ``WIDE`` bits) that join all that differ in at most
+    ``radius`` bits and agree in the key of some table; a table's key is a sample of the bits.
+
+    A bucket of more than ``block`` rows is dealt into parts every two of which meet in one task."""
+
+    def keyed(batches):
         import numpy as np
+        import pyarrow as pa
 
-        held = None
+        rng, picks = np.random.default_rng(SEED), []
+        while len(picks) < tables:  # permutations, cut into keys
+            order = rng.permutation(WIDE)
+            picks += [order[a : a + key_bits] for a in range(0, WIDE - key_bits + 1, key_bits)]
+        picks, scale = np.array(picks[:tables]), 1 << np.arange(key_bits)
         for b in batches:
-            now = [b[c].to_numpy(zero_copy_only=False) for c in ("k", "key", "fp")]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            if not len(now[0]):
-                continue
-            cut = int(np.flatnonzero((now[0] == now[0][-1]) & (now[1] == now[1][-1]))[0])
-            if cut:
-                yield [x[:cut] for x in now]
-            held = [x[cut:] for x in now]
-        if held is not None and len(held[0]):
-            yield held
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                bits = np.unpackbits(_matrix(part["fp"]), axis=1, bitorder="little")
+                keys = (bits[:, picks] * scale).sum(2) + (np.arange(tables) << key_bits)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, tables * (part.num_rows + 1), tables, dtype=np.int32)), pa.array(keys.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part["node"], part["fp"], lists], ["node", "fp", "keys"])
+
+    rows = nodes.select("node", "fp").mapInArrow(worker(keyed), "node long, fp binary, keys array<int>")
+    rows = rows.select("node", "fp", F.explode("keys").alias("key"))
+    # at most tables * 2^key_bits keys
+    large = work.keep(rows.groupBy("key").count().filter(F.col("count") > block).select("key", F.ceil(F.col("count") / (block // 2)).cast("int").alias("parts")), "large")
+    if large.limit(1).count():
+        rows = rows.join(F.broadcast(large), "key", "left")
+        own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, own) * F.col("parts") + F.greatest(o, own))
+        rows = rows.withColumn("part", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(meet))).drop("parts")
+    else:
+        rows = rows.withColumn("part", F.lit(0))
+    rows = rows.select("key", "part", "node", "fp").repartition("key", "part").sortWithinPartitions("key", "part", "node")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for k, key, fp in whole_buckets(batches):
-            fp = fp.view(np.uint64)
-            first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (key[1:] != key[:-1])])
-            sizes = np.diff(np.r_[first, len(k)])
-            group = np.repeat(np.arange(len(first)), sizes)
-            u, v = [], []
-            small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
-            for o in range(1, SMALL):
-                i = small[small + o < len(k)]
-                i = i[group[i] == group[i + o]]
-                i = i[np.bitwise_count(fp[i] ^ fp[i + o]) <= radius]
-                u.append(fp[i])
-                v.append(fp[i + o])
-            for g in np.flatnonzero(sizes > SMALL):
-                a = first[g]
-                free = [p for p in range(64) if not masks[k[a]] >> p & 1]
-                x, y = linked(fp[a : a + sizes[g]], radius, free)
-                u.append(x)
-                v.append(y)
-            u, v = (np.concatenate(x).view(np.int64) for x in (u, v))
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        for key, part, node, fp in _whole_groups(batches, ("key", "part", "node", "fp"), 2):
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+            i, j = _edges(fp, first, np.diff(np.r_[first, len(key)]), radius)
+            pairs = np.unique(np.stack([node[i], node[j]], 1), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
     return rows.mapInArrow(worker(run), "u long, v long")
 
@@ -187,16 +364,17 @@ def bucket_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """``node, root`` for every node of ``edges (u, v)`` but the roots: the least node that can be reached."""
     edges = work.keep(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    files = max(1, -(-edges.count() // 200_000))  # a step has no more edges than that, so tables don't become scraps
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
-        large = work.keep(large, "large")
+        large = work.keep(large.coalesce(files), "large")
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v")
         small = small.select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("v").alias("b")), F.struct(F.col("m").alias("a"), F.col("u").alias("b")))).alias("e"))
-        edges = work.keep(small.select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).filter("u <> v").distinct(), "small")
+        edges = work.keep(small.select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).filter("u <> v").distinct().coalesce(files), "small")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
@@ -218,8 +396,8 @@ def simhash_groups(docs: DataFrame, *, radius: int = RADIUS, size: int = WORDS)
 
 
 def one_of_each_group(docs: DataFrame, *, radius: int = RADIUS, size: int = WORDS) -> DataFrame:
-    """``docs`` with one row of each group: that of the least id."""
+    """``docs`` with one row of each group, that of the least id; rows of one id (or of none) count as one document."""
     groups = simhash_groups(docs, radius=radius, size=size)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id")).distinct()
-    rows = docs.withColumn("__id", doc_id()).join(keep, "__id", "left_semi").dropDuplicates(["__id"])
-    return rows.select(*[f"`{c}`" for c in docs.columns])
+    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id")).distinct()
+    every = docs.select(F.struct(*names_of(docs)).alias("row"), doc_id().alias("id"), F.xxhash64("text").alias("th"))
+    return every.join(keep, "id", "left_semi").groupBy("id").agg(F.min_by("row", "th").alias("row")).select("row.*")
