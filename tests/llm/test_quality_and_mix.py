@@ -162,3 +162,80 @@ def test_few_labels_of_one_kind_are_not_lost(spark, data):
     kept = {r["doc_id"] for r in cotraining.quality(docs, labels, model=model).filter("keep").collect()}
     assert sum(i in kept for i in truth if truth[i]) > 0.9 * sum(truth.values())
     assert len(kept) < docs.count()
+
+
+def plain_logistic(rows, ys, ridge):
+    """Weights, constant first, by plain descent along Newton's direction; both kinds weigh the same."""
+    rows, ys = [np.concatenate([[1.0], r]) for r in rows], list(ys)
+    n, n_good = len(ys), sum(ys)
+    weigh = [0.5 * n / n_good if y else 0.5 * n / (n - n_good) for y in ys]
+    lam = ridge * n / (2 * max(1, min(n_good, n - n_good)))
+    w = np.zeros(len(rows[0]))
+    for _ in range(40):
+        g, h = lam * w, lam * np.eye(len(w))
+        g[0], h[0, 0] = 1e-6 * w[0], 1e-6
+        for r, y, s in zip(rows, ys, weigh):
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(r @ w)))))
+            g = g + s * (p - y) * r
+            h = h + (s * p * (1 - p) + 1e-9) * np.outer(r, r)
+        w = w - np.linalg.solve(h, g)
+    return w
+
+
+def test_against_plain_co_training():
+    rng = np.random.default_rng(3)
+    dims = cotraining.META.stop
+    text, meta = range(dims)[cotraining.TEXT], range(dims)[cotraining.META]
+    y = (rng.random(60) < 0.7).astype(float)
+    hidden = (rng.random(50) < 0.7).astype(float)
+
+    def draw(of):
+        x = np.zeros((len(of), dims), np.float32)
+        x[:, text[0]], x[:, text[1]] = 2 * of + rng.normal(0, 0.5, len(of)), rng.normal(0, 1, len(of))
+        x[:, meta[0]], x[:, meta[1]] = 2 * of + rng.normal(0, 0.7, len(of)), rng.normal(0, 1, len(of))
+        return x
+
+    x, pool = draw(y), draw(hidden)
+    model = cotraining.co_train(x, y, pool, rounds=2, sure=0.9, per_round=20)
+    mean, scale = x.mean(0, dtype=float).astype(np.float32), (x.std(0, dtype=float) + 1e-3).astype(np.float32)
+    norm = lambda v: np.clip((v - mean) / scale, -4, 4)
+    z, free = norm(x), norm(pool)
+    order, held = np.random.default_rng(7).permutation(60).tolist(), set()
+    for k in (0, 1):
+        held |= set([i for i in order if y[i] == k][::5])
+    inside = [i for i in range(60) if i not in held]
+    used = [0, 1]  # of each view, all others are zero here
+    cut = lambda row, v: row[[(text, meta)[v][c] for c in used]].astype(float)
+    sets = [([cut(z[i], v) for i in inside], [y[i] for i in inside]) for v in (0, 1)]
+    left = [set(range(50)), set(range(50))]
+    good = sum(y[i] for i in inside) / len(inside)
+    odds = lambda t: 1 / (1 + math.exp(-t))
+    fit = lambda v, ridge=1.0: plain_logistic(*sets[v], ridge)
+    w = [fit(0), fit(1)]
+    for _ in range(2):
+        for v in (0, 1):
+            p = [odds(w[v][0] + cut(free[i], v) @ w[v][1:]) for i in range(50)]
+            for k, share in ((1, good), (0, 1 - good)):
+                trust = [q if k else 1 - q for q in p]
+                picks = sorted((i for i in left[1 - v] if trust[i] >= 0.9), key=lambda i: -trust[i])[: int(20 * share)]
+                left[1 - v] -= set(picks)
+                sets[1 - v] = (sets[1 - v][0] + [cut(free[i], 1 - v) for i in picks], sets[1 - v][1] + [float(k)] * len(picks))
+        w = [fit(0), fit(1)]
+    assert model.held_out["pseudo"] == [len(sets[v][1]) - len(inside) for v in (0, 1)] and min(model.held_out["pseudo"]) > 5
+    back = sorted(held)
+    raw = [[w[v][0] + cut(z[i], v) @ w[v][1:] for i in back] for v in (0, 1)]
+    bend = [plain_logistic([[r] for r in raw[v]], [y[i] for i in back], 0.01) for v in (0, 1)]
+    clip = lambda t: max(-5.0, min(5.0, t))
+    both = [[clip(bend[v][0] + bend[v][1] * raw[v][k]) for v in (0, 1)] for k in range(len(back))]
+    last = plain_logistic(both, [y[i] for i in back], 0.1)
+    got = model(pool)
+    for i in range(50):
+        views = [clip(bend[v][0] + bend[v][1] * (w[v][0] + cut(free[i], v) @ w[v][1:])) for v in (0, 1)]
+        want = (odds(views[0]), odds(views[1]), odds(last[0] + last[1] * views[0] + last[2] * views[1]))
+        assert [float(g[i]) for g in got] == pytest.approx(want, abs=2e-3)
+
+
+def test_page_view_sees_nothing_of_the_text():
+    a, b = cotraining.features("One text. Two lines.\nx", "web", "en", 30), cotraining.features("entirely other words", "web", "en", 30)
+    assert (a[cotraining.META] == b[cotraining.META]).all() and (a[cotraining.TEXT] != b[cotraining.TEXT]).any()
+    assert (cotraining.page_data(None, None, None) != cotraining.page_data(None, None, 0)).any()

@@ -90,7 +90,8 @@ def _fit(x, y, ridge: float = 1.0, rounds: int = 12):
 
     x = np.c_[np.ones(len(x)), x].astype(np.float64)
     w, share = np.zeros(x.shape[1]), np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    penalty = np.full(x.shape[1], ridge)
+    rarer = min(max(1.0, (y > 0).sum()), max(1.0, (y == 0).sum()))
+    penalty = np.full(x.shape[1], ridge * len(y) / (2 * rarer))  # evidence is what the rarer kind gives, however it is weighed
     penalty[0] = 1e-6
     for _ in range(rounds):
         p = _odds(x @ w)
