@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: On ``file:`` (no other store looks at this) intermediate tables have no checksum files beside them. With those, and
+#: without Hadoop's native library, an executor forks a process twice for every file, under a large heap.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 #: Stands for a null document id inside the operators.
 NULL_ID = -(2**63)
 
@@ -49,7 +52,7 @@ class Workspace:
     def keep(self, df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
         """Write ``df`` and read it back: cuts the lineage at files every executor can reach."""
         to = self.folder(name)
-        df.write.partitionBy(*partition_by).parquet(to)
+        df.write.options(**PLAIN_FILES).partitionBy(*partition_by).parquet(to)
         return self.spark.read.schema(df.schema).parquet(to)
 
     def listed(self, files: DataFrame) -> DataFrame:
