@@ -102,3 +102,88 @@ def test_copies_of_a_page_do_not_make_its_text_noise(spark):
     rows = [(i, f"http://copies.org/{i}", page(0 if i < 30 else i)) for i in range(40)]
     got = h.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
     assert len(got) == 40 and all(r["text"].startswith("text number") for r in got)
+
+
+MORE = {
+    "<div class='post share'><p>the story</p></div>": "the story",
+    "<article class='search'><p>found text</p></article>": "found text",
+    "<main><p>short</p><section class='notice-board'><p>a longer text than the rest</p></section></main>": "short\na longer text than the rest",
+    "<main><p>a longer text than the notice</p><section class='notice-board'><p>short</p></section></main>": "a longer text than the notice",
+    "<div class='page-with-sidebar'><article><p>kept</p></article></div>": "kept",
+    "<p>x &am<b>p;</b> y": "x &amp; y",
+    "<article><div class='ad'>buy</div><p>t</p></article>": "t",
+}
+
+
+@pytest.mark.parametrize("page", MORE)
+def test_names_are_a_hint(page):
+    assert h.main_text(page) == MORE[page]
+
+
+def plain_tree(pages, gamma=0.9, threshold=0.4, min_pages=4):
+    """Unimportant nodes of one host by the formulas, over nested lists ``(name, text or children)`` of each page."""
+    looks, texts = {}, {}
+    for page in pages:
+        seen = set()
+
+        def walk(node, path):
+            names = [c[0] for c in node if not isinstance(c, str)]
+            seen.add(("look", path, " ".join(x for i, x in enumerate(names) if i == 0 or names[i - 1] != x)))
+            for c in node:
+                if isinstance(c, str):
+                    seen.add(("text", path, c))
+                else:
+                    walk(c[1], (*path, c[0]))
+
+        walk(page, ())
+        for kind, path, value in seen:
+            of = (looks if kind == "look" else texts).setdefault(path, {})
+            of[value] = of.get(value, 0) + 1
+    low = set()
+    for path, of in texts.items():
+        m = sum(looks[path].values())
+        if m < min_pages:
+            continue
+        entropy = -sum(n / m * math.log(n / m) for n in looks[path].values()) / math.log(m)
+        content = 1 - sum(n * math.log(n) for n in of.values()) / sum(of.values()) / math.log(m)
+        if (1 - gamma) * entropy + gamma * content < threshold:
+            low.add(path)
+    return low
+
+
+@pytest.mark.parametrize("around", ["div.text", "article", "div.post.share", "section.search.story", "article.notice"])
+def test_extraction_against_a_plain_style_tree(spark, around):
+    rng = random.Random(around)
+    prose = lambda: " ".join(f"w{rng.randint(0, 400)}" for _ in range(9))
+    trees = []
+    for i in range(14):
+        inner = [("h2", [prose()]), *[("p", [prose()]) for _ in range(rng.randint(1, 3))], ("div.tip", [("p", ["Read more of this every day"])])]
+        trees.append([("div.top", [("p", ["Same words on every page"])]), (around, inner), ("div.end", [("p", ["Terms apply" if i % 5 else prose()])])])
+
+    def html_of(node):
+        tag, *names = node[0].split(".")
+        return f"<{tag}" + (f' class="{" ".join(names)}"' if names else "") + ">" + "".join(c if isinstance(c, str) else html_of(c) for c in node[1]) + f"</{tag}>"
+
+    def texts_of(node, path):
+        for c in node:
+            yield from [(path, c)] if isinstance(c, str) else texts_of(c[1], (*path, c[0]))
+
+    name = lambda x: ".".join([x.split(".")[0], *sorted(x.split(".")[1:])])
+    ordered = lambda node: [c if isinstance(c, str) else (name(c[0]), ordered(c[1])) for c in node]
+    rows = [(i, f"http://a.example/{i}", "".join(map(html_of, t))) for i, t in enumerate(trees)]
+    low = plain_tree([ordered(t) for t in trees])
+    assert any(p[-2:] == ("div.tip", "p") for p in low)
+    want = {}
+    for i, t in enumerate(trees):
+        found = list(texts_of(ordered(t), ()))
+        if around.startswith("article"):
+            found = [x for x in found if x[0][0] == name(around)]
+        want[i] = "\n".join(text for path, text in found if path not in low)
+    got = {r["page_id"]: r["text"] for r in h.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want
+
+
+def test_an_article_on_every_page_stays(spark):
+    rows = [(i, f"http://a.example/{i}", f"<div><p>beside {i}</p></div><article><h1>Same</h1><p>the same article</p></article>") for i in range(9)]
+    got = h.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in got} == {"Same\nthe same article"}

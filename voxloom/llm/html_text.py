@@ -3,12 +3,14 @@
 Pages of one host are merged into a tree of style nodes (path of tag, class and id from the root). A node's
 importance joins how varied its presentation is over the pages (entropy of the sequences of its children) and
 how varied the content below it is (one less the mean entropy of its texts over the pages: what stands on every
-page says nothing). Branches of low importance are removed from each page of the host.
+page says nothing). Branches of low importance are removed from each page of the host, also within articles; a page
+whose article would go altogether keeps it, as an article printed on many pages is no less one.
 
-The tree alone takes an advert that changes from page to page for content and an article printed on many pages
-for noise. So names decide first where they are clear: ``nav``, ``footer``, ``aside``, ``form`` and the like,
-and classes, ids and roles that say advert, menu, comment and so on, have no importance; ``article`` and
-``main`` have all of it, and where a page has one, its text is what stands in there. The tree decides on all else.
+The tree alone takes an advert that changes from page to page for content, so names are looked at, too: ``nav``,
+``footer``, ``aside``, ``form`` and the like, and classes, ids and roles that say advert, menu, comment and so on, are
+left out of the tree; ``article`` and ``main`` say where the text is, whatever else they are called. A class that
+says both (``post share``) leaves it to the tree. A name of several words one of which is a noise word
+(``notice-board``) counts only where the element has at most half of the page's (or its article's) text.
 
 Pages are parsed twice and not shuffled: the first pass emits counts of (host, node, feature), combined before
 they are shuffled, the second gets each host's list of unimportant nodes, by broadcast if there are at most
@@ -40,24 +42,28 @@ NOISE_NAMES = set(
     "login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion related replies reply respond search share sharing "
     "sidebar signup skip social sponsor sponsored subscribe tagcloud tags toolbar topbar widget widgets complementary contentinfo".split()
 )
+TEXT_NAMES = set("article entry post story".split())
 WHOLE = {"article", "main"}
 CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr", {"table"}), "option": ("option", {"select"})}
 MARK = re.compile(r"""<(?:!--(?:.*?-->|.*\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z))""", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-NOISE, OPEN, MAIN = 0, 1, 2
+NOISE, OPEN, MAIN, MAYBE = 0, 1, 2, 3
 
 
 @lru_cache(1 << 14)
 def _element(tag: str, attrs: str) -> tuple[str, int, bool]:
-    """Style name, what the element's names say, and whether it is but a header, which an article overrules."""
+    """Style name, what the element's names say, and whether that is but a header, which an article overrules."""
     found = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(attrs)} if attrs else {}
     names = re.sub(r"\d+", "0", f"{found.get('class', '')} {found.get('id', '')}".lower()).split()
     style = ".".join([tag, *sorted(set(names))])
     words = {w for n in [*names, *found.get("role", "").lower().split()] for w in [n, *re.split(r"[-_0]+", n)]}
     hidden = re.search(r"(^|\s)hidden(\s|=|/|$)", re.sub(r"""=\s*("[^"]*"|'[^']*')""", "= ", attrs)) or "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("aria-hidden") == "true"
-    names = words & NOISE_NAMES if tag not in ("html", "body", "main") else set()
+    said = {*names, *found.get("role", "").lower().split()}
+    both = bool(said & TEXT_NAMES)
+    names = words & NOISE_NAMES if tag not in ("html", "body", *WHOLE) and not both else set()
     if hidden or names or tag in NOISE_TAGS:
-        return style, NOISE, not hidden and names <= {"header"} and (tag == "header" or tag not in NOISE_TAGS)
+        clear = hidden or tag in NOISE_TAGS or said & NOISE_NAMES or names <= {"header"}
+        return style, NOISE if clear else MAYBE, not hidden and names <= {"header"} and (tag == "header" or tag not in NOISE_TAGS)
     return style, MAIN if tag in WHOLE or "main" in found.get("role", "") else OPEN, False
 
 
@@ -65,29 +71,30 @@ def blocks(page: str):
     """Blocks of text in page order, ``(what, path, text, of which in links)``; and the children of each open node, ``(path, names)``."""
     out: list = []
     children: dict[tuple, list[str]] = {}
-    stack: list[tuple[str, int, tuple]] = []  # tag, what it is, path
-    what, path, parts, linked, in_link = OPEN, (), [], 0, 0
+    stack: list[tuple[str, int, tuple, tuple]] = []  # tag, what it is, path, elements around it that may be noise
+    what, path, doubts, parts, linked, in_link = OPEN, (), (), [], 0, 0
+    n_doubts = 0
     at, n = 0, len(page)
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
-            text = " ".join(unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                out.append((what, path, text, min(linked, len(text))))
+                out.append((what, path, text, min(linked, len(text)), doubts))
             parts, linked = [], 0
 
     def pop_to(k: int) -> None:
-        nonlocal what, path
+        nonlocal what, path, doubts
         flush()
         del stack[k:]
-        what, path = (stack[-1][1], stack[-1][2]) if stack else (OPEN, ())
+        what, path, doubts = stack[-1][1:] if stack else (OPEN, (), ())
 
     while at < n:
         m = MARK.search(page, at)
         end = m.start() if m else n
         if end > at and what != NOISE:
-            parts.append(page[at:end])
+            parts.append(unescape(page[at:end]))
             linked += in_link and end - at
         if not m:
             break
@@ -129,17 +136,37 @@ def blocks(page: str):
         style, means, header = _element(tag, m[3].strip())
         flush()
         if what == NOISE:
-            overruled = means == MAIN and not any(w == NOISE and not _overruled(t) for t, w, _ in stack)
+            overruled = means == MAIN and not any(s[1] == NOISE and not _overruled(s[0]) for s in stack)
             means = MAIN if overruled else NOISE
-        elif what == MAIN:
-            means = NOISE if means == NOISE and not header else MAIN
-        elif means == OPEN:
-            children.setdefault(path, []).append(style)
-            children.setdefault((*path, style), [])
+        else:
+            if means == MAYBE:
+                n_doubts += 1
+                doubts, means = (*doubts, n_doubts), what
+            elif what == MAIN:
+                means = NOISE if means == NOISE and not header else MAIN
+            if means != NOISE:
+                children.setdefault(path, []).append(style)
+                children.setdefault((*path, style), [])
         what, path = means, (*path, style)
-        stack.append((tag, what, path))
+        stack.append((tag, what, path, doubts))
     flush()
-    return out, children
+    return _settled(out), children
+
+
+def _settled(found: list) -> list:
+    """Blocks without the elements that were in doubt and have at most half of the text around them."""
+    total, of = {OPEN: 0, MAIN: 0}, {}
+    for what, _, text, _, doubts in found:
+        total[what] += len(text)
+        for d in doubts:
+            size = of.setdefault(d, {OPEN: 0, MAIN: 0})
+            size[what] += len(text)
+    noise = set()
+    for d, size in of.items():
+        has, around = (size[MAIN], total[MAIN]) if size[MAIN] else (size[OPEN], total[OPEN] + total[MAIN])
+        if 2 * has <= around:
+            noise.add(d)
+    return [x[:4] for x in found if not noise.intersection(x[4])]
 
 
 def _overruled(tag: str) -> bool:
@@ -159,7 +186,7 @@ def host_of(url: str | None) -> str:
 
 
 def style_counts(pages: DataFrame) -> DataFrame:
-    """``host, node, kind, feature, n``: pages of a host by children (0) or texts (1) of a node that names don't decide.
+    """``host, node, kind, feature, n``: pages of a host by children (0) or texts (1) of a node that names don't make noise.
     Pages of one html count once for a host."""
 
     def run(batches):
@@ -172,13 +199,12 @@ def style_counts(pages: DataFrame) -> DataFrame:
             rows = set()
             for url, page in zip(b["url"].to_pylist(), b["html"].to_pylist(), strict=True):
                 found, children = blocks(page or "")
-                if any(x[0] == MAIN for x in found):
-                    continue  # the tree has no say on such a page
+                only = MAIN if any(x[0] == MAIN for x in found) else OPEN  # what the text is taken from
                 host, k = host_of(url), digest(page or "")
                 for path, names in children.items():
                     rows.add((host, _path_key(path), 0, digest(" ".join(x for i, x in enumerate(names) if names[i - 1 : i] != [x])), k))
                 for what, path, text, _ in found:
-                    if what == OPEN:
+                    if what == only:
                         rows.add((host, _path_key(path), 1, digest(text), k))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
@@ -206,10 +232,11 @@ def low_branches(counts: DataFrame, *, threshold: float = 0.4, min_pages: int =
 def main_text(page: str | None, low: set[int] = frozenset()) -> str:
     """Text of one page, without the branches ``low`` of its host."""
     found, _ = blocks(page or "")
-    main = [t for what, _, t, _ in found if what == MAIN]
-    if not main:
-        main = [t for what, path, t, linked in found if what == OPEN and 2 * linked < len(t) and not (low and _path_key(path) in low)]
-    return "\n".join(main)
+    main = [(path, t) for what, path, t, _ in found if what == MAIN]
+    if main:
+        stay = [t for path, t in main if not (low and _path_key(path) in low)]
+        return "\n".join(stay or [t for _, t in main])
+    return "\n".join(t for what, path, t, linked in found if what == OPEN and 2 * linked < len(t) and not (low and _path_key(path) in low))
 
 
 def extract_text(pages: DataFrame, *, threshold: float = 0.4, min_pages: int = 4, broadcast_rows: int = 50_000) -> DataFrame:
