@@ -72,10 +72,10 @@ def test_large_families_and_buckets_are_dealt_in_parts(spark):
     assert sorted(r["doc_id"] for r in nc.one_of_each_text(df, block=8).collect()) == sorted(set(root)) and 20 < len(set(root)) < 60
     fps = [simhash.wide_fingerprint(nc.shingles(t)[1]) for t in texts]
     nodes = spark.createDataFrame(list(enumerate(map(bytearray, fps))), "node long, fp binary")
-    close = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b)) <= 56
+    close = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b)) <= 31
     near = [(a, b) for a in range(80) for b in range(a) if close(fps[a], fps[b])]
     for block in (1 << 16, 16):
-        got = simhash.components(simhash.wide_links(nodes, 56, Workspace(spark, "t"), block=block), Workspace(spark, "t"))
+        got = simhash.components(simhash.wide_links(nodes, 31, Workspace(spark, "t"), block=block), Workspace(spark, "t"))
         root = {r["node"]: r["root"] for r in got.collect()}
         assert all(root.get(a, a) == root.get(b, b) for a, b in near)
         assert all(any(root.get(a, a) == root.get(b, b) for b in range(80) if b != a and ((a, b) in near or (b, a) in near)) for a in root)

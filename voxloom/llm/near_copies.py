@@ -2,8 +2,8 @@
 
 A text is a node, told by the hash of its lower-cased words; a text's set is its distinct runs of ``size`` words
 (a shorter text is one run). The set's wide fingerprint proposes (``simhash.wide_links``: bit planes in buckets of
-sampled bits): fingerprints of sets with a Jaccard index of 0.8 differ in 39 of 256 bits, give or take 6, those of
-unrelated sets in 128, give or take 8. Proposed are differences of up to 56 bits; pairs of index 0.8 are missed 1 in 100
+sampled bits): fingerprints of sets with a Jaccard index of 0.8 differ in 19 of 128 bits, give or take 4, those of
+unrelated sets in 64, give or take 6. Proposed are differences of up to 31 bits; pairs of index 0.8 are missed 1 in 100
 times (no table of bits agrees), of 0.85 1 in 2,000, of 0.9 less than 1 in 100,000, unless a third text links them.
 Proposals are joined to families, and a family's texts are compared by their exact sets through an inverted index:
 ``100 * common >= percent * united``, in integers. A family of more than ``block`` texts is dealt into parts every two

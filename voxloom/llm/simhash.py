@@ -8,10 +8,10 @@ spread. Within a bucket only the free bits
 are compared, stored as vertical bit planes: a plane's word holds that bit of 64 fingerprints, differences are
 summed by carry-save counters for 64 at once, and words are given up once all of them exceed the radius. Buckets
 of a few rows are compared together, each row with those after it in its bucket, by shifting the planes of the
-whole batch; larger ones row by row from link to link, where each linked group becomes a star, not its pairs.
-Edges of all buckets are joined to components by alternating large-star and small-star steps.
+whole batch; larger ones row by row from link to link. Each linked group of a bucket becomes a star about its least
+row, not its pairs. Stars of all buckets are joined to components by alternating large-star and small-star steps.
 
-``wide_links`` does the same for fingerprints of 256 bits and large radii, as sets of shingles of a Jaccard index of
+``wide_links`` does the same for fingerprints of 128 bits and large radii, as sets of shingles of a Jaccard index of
 0.8 need them: there no choice of bytes has to agree, so buckets are tables of sampled bits.
 
 Defined results: null and blank texts have fingerprint zero and link like any other; a null id counts as one
@@ -246,12 +246,28 @@ def _matrix(column):
     return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(column), -1)
 
 
+def _least_linked(n: int, i, j):
+    """For each of ``n`` places the least that the links ``i, j`` reach."""
+    import numpy as np
+
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        np.minimum.at(root, j, before[i])
+        np.minimum.at(root, i, before[j])
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
 def _edges(fps, starts, sizes, radius: int):
-    """Places ``i, j`` that join the same rows as all links within the groups do; ``fps`` are rows of bytes."""
+    """Places ``root, member`` of the groups that links join within groups of rows; ``fps`` are rows of bytes."""
     import numpy as np
 
     i, j = neighbours_linked(fps, np.repeat(np.arange(len(starts)), sizes), radius, ALONG)
-    u, v = [i], [j]
+    root = _least_linked(len(fps), i, j)
+    v = [np.flatnonzero(root != np.arange(len(fps)))]
+    u = [root[v[0]]]
     for g in np.flatnonzero(sizes > ALONG):
         x, y = stars(fps[starts[g] : starts[g] + sizes[g]], radius)
         u.append(x + starts[g])
@@ -260,7 +276,7 @@ def _edges(fps, starts, sizes, radius: int):
 
 
 def bucket_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``u, v``: edges that join the same fingerprints as all links of at most ``radius`` bits do."""
+    """``u, v``: stars that join the same fingerprints as all links of at most ``radius`` bits do."""
     choices = list(combinations(range(8), 8 - radius))
     masks = [sum(0xFF << 8 * b for b in c) for c in choices]
     free = [[b for b in range(8) if b not in c] for c in choices]
@@ -286,7 +302,7 @@ def bucket_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 #: Wide fingerprints: bits, tables of sampled bits, bits in a table's key; rows of a bucket that meet in one task.
-WIDE, TABLES, KEY_BITS, BLOCK = 256, 64, 16, 1 << 16
+WIDE, TABLES, KEY_BITS, BLOCK = 128, 64, 16, 1 << 16
 
 
 def wide_radius(similarity: float, bits: int = WIDE) -> int:
@@ -312,7 +328,7 @@ def wide_fingerprint(hashes, bits: int = WIDE):
 
 
 def wide_links(nodes: DataFrame, radius: int, work: Workspace, *, tables: int = TABLES, key_bits: int = KEY_BITS, block: int = BLOCK) -> DataFrame:
-    """``u, v``: edges between ``nodes`` (``node``, ``fp`` of ``WIDE`` bits) that join all that differ in at most
+    """``u, v``: stars of ``nodes`` (``node``, ``fp`` of ``WIDE`` bits) that join all that differ in at most
     ``radius`` bits and agree in the key of some table; a table's key is a sample of the bits.
 
     A bucket of more than ``block`` rows is dealt into parts every two of which meet in one task."""
@@ -331,10 +347,10 @@ def wide_links(nodes: DataFrame, radius: int, work: Workspace, *, tables: int =
                 part = b.slice(at, 4096)
                 bits = np.unpackbits(_matrix(part["fp"]), axis=1, bitorder="little")
                 keys = (bits[:, picks] * scale).sum(2) + (np.arange(tables) << key_bits)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, tables * (part.num_rows + 1), tables, dtype=np.int32)), pa.array(keys.ravel().astype(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, tables * (part.num_rows + 1), tables, dtype=np.int32)), pa.array(keys.ravel().astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([part["node"], part["fp"], lists], ["node", "fp", "keys"])
 
-    rows = nodes.select("node", "fp").mapInArrow(worker(keyed), "node long, fp binary, keys array<int>")
+    rows = nodes.select("node", "fp").mapInArrow(worker(keyed), "node long, fp binary, keys array<long>")
     rows = rows.select("node", "fp", F.explode("keys").alias("key"))
     # at most tables * 2^key_bits keys
     large = work.keep(rows.groupBy("key").count().filter(F.col("count") > block).select("key", F.ceil(F.col("count") / (block // 2)).cast("int").alias("parts")), "large")
@@ -342,17 +358,17 @@ def wide_links(nodes: DataFrame, radius: int, work: Workspace, *, tables: int =
         rows = rows.join(F.broadcast(large), "key", "left")
         own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
         meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, own) * F.col("parts") + F.greatest(o, own))
-        rows = rows.withColumn("part", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(meet))).drop("parts")
-    else:
-        rows = rows.withColumn("part", F.lit(0))
-    rows = rows.select("key", "part", "node", "fp").repartition("key", "part").sortWithinPartitions("key", "part", "node")
+        part = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(meet))
+        rows = rows.select("node", "fp", "key", part.alias("part")).withColumn("key", F.col("key") + F.shiftleft(F.col("part").cast("long"), 32))
+    n_tasks = max(tables, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.select("key", "node", "fp").repartition(n_tasks, "key").sortWithinPartitions("key", "node")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for key, part, node, fp in _whole_groups(batches, ("key", "part", "node", "fp"), 2):
-            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+        for key, node, fp in _whole_groups(batches, ("key", "node", "fp"), 1):
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             i, j = _edges(fp, first, np.diff(np.r_[first, len(key)]), radius)
             pairs = np.unique(np.stack([node[i], node[j]], 1), axis=0)
             if len(pairs):
