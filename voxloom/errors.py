@@ -15,15 +15,15 @@ HINTS = {
     "io": "I/O error: {detail}",
     "usage": "{detail}",
     "unsupported_codec": "cannot decode {path}: {detail}. Convert it to WAV, or use the external decoder.",
-    "model_download_failed": "cannot obtain model {model}: {detail}. Check the network or fetch it beforehand.",
-    "out_of_memory": "not enough memory: {detail}. Choose a smaller model or fewer jobs.",
-    "gpu_init_failed": "the GPU did not start: {detail}. Use one job, or the CPU.",
+    "model_download_failed": "model {model} is not here and could not be fetched: {detail}.",
+    "out_of_memory": "out of memory: {detail}.",
+    "gpu_init_failed": "GPU not usable: {detail}. The CPU does the same work.",
     "file_not_found": "no such file or directory: {path}",
-    "model_load_failed": "cannot load model {path}: {detail}. It may be damaged; fetch it again.",
+    "model_load_failed": "{path} is not a model that can be loaded: {detail}.",
     "transcription_failed": "transcription failed: {detail}",
     "diarization_failed": "speaker diarization failed: {detail}",
-    "partial_batch_failure": "{failed} of {processed} processed files failed; the rest completed.",
-    "interrupted": "interrupted: {completed} of {total} files processed before stopping.",
+    "partial_batch_failure": "some files have no transcript: {failed} of the {processed} that were tried. Their rows say why.",
+    "interrupted": "stopped by request after {completed} of {total} files; run again for the others.",
 }
 ERROR_TYPE = "struct<code:int,message:string>"
 

@@ -94,7 +94,7 @@ parts AS (SELECT file_id, cluster, unnest(range(1, len({key}) + 1)) AS i, unnest
 centers AS (SELECT file_id, cluster, list(m ORDER BY i) AS c FROM (SELECT file_id, cluster, i, avg(x) AS m FROM parts GROUP BY ALL) GROUP BY file_id, cluster)"""
 
 
-_LAG = "r AS (SELECT vec_id, v, lag(v) OVER w AS b, lag(vec_id) OVER w AS other_id FROM (SELECT vec_id, label, embedding[1:8]::DOUBLE[] AS v FROM embeddings) WINDOW w AS (PARTITION BY label ORDER BY vec_id))"
+_LAG = "r AS (SELECT vec_id, v, lag(v) OVER w AS b, lag(vec_id) OVER w AS other_id FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) WINDOW w AS (PARTITION BY label ORDER BY vec_id))"
 _WAVE = "list_sum(list_transform(range(0, 64), lambda n: e[n + 1] * {f}(2 * pi() / 64 * k * n)))"
 _POWER = f"sp AS (SELECT vec_id, k, pow({_WAVE.format(f='cos')}, 2) + pow({_WAVE.format(f='sin')}, 2) AS p FROM (SELECT vec_id, embedding::DOUBLE[] AS e, unnest(range(0, 32)) AS k FROM embeddings))"
 _BANKS = "[" + ", ".join("[" + ", ".join(f"{x:.6f}::DOUBLE" for x in row) + "]" for row in mel_weights()) + "]"
@@ -198,8 +198,8 @@ c AS (SELECT file_id, speaker, count(*) FILTER (f AND n < 2) AS clean FROM l GRO
 SELECT l.file_id, l.speaker, string_agg((CASE WHEN clean > 10 THEN f AND n < 2 ELSE f END)::INT::VARCHAR, '' ORDER BY frame) AS mask
 FROM l JOIN c ON l.file_id = c.file_id AND l.speaker = c.speaker GROUP BY l.file_id, l.speaker""",
     "nearest_upsample": """SELECT vec_id, i::INT AS i, least(i * 64 // (vec_id % 40 + 64), 63)::INT AS src FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS i FROM embeddings)""",
-    "l2_normalize": f"""WITH a AS (SELECT vec_id, embedding[1:8]::DOUBLE[] AS v FROM embeddings), n AS (SELECT *, sqrt({_DOT.format('v', 'v')}) AS n FROM a)
-SELECT vec_id, i::INT AS i, round(CASE WHEN n = 0 THEN 0 ELSE v[i + 1] / n END, 6) AS x FROM (SELECT *, unnest(range(0, 8)) AS i FROM n)""",
+    "l2_normalize": f"""WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT *, sqrt({_DOT.format('v', 'v')}) AS n FROM a)
+SELECT vec_id, i::INT AS i, round(CASE WHEN n = 0 THEN 0 ELSE v[i + 1] / n END, 6) AS x FROM (SELECT *, unnest(range(0, len(v))) AS i FROM n)""",
     "cosine_neighbours": f"WITH {_LAG} SELECT vec_id, other_id, round({_COS.format('v', 'b')}, 6) AS cosine FROM r WHERE b IS NOT NULL",
     "euclidean_neighbours": f"WITH {_LAG} SELECT vec_id, other_id, round(sqrt(list_sum(list_transform(list_zip(v, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS euclidean FROM r WHERE b IS NOT NULL",
     "centroids_raw_mean": f"WITH {_VEC}, {_centers('v', 'e')} SELECT file_id, cluster, (i - 1)::INT AS i, round(avg(x), 6) AS x FROM parts GROUP BY file_id, cluster, i",

@@ -68,5 +68,5 @@ def guard_memory(model: str, jobs: int, ram: int | None, extra: int = 0) -> None
     if ram is None or not exceeds(ram, model, jobs, extra):
         return
     best = largest_fitting(ram, jobs, extra)
-    hint = f"no model fits at {jobs} job(s)" if exceeds(ram, best, jobs, extra) else f"the largest that fits is {best}"
-    raise EngineError("out_of_memory", detail=f"{model} at {jobs} job(s) needs about {human(estimated(model, jobs) + extra)} of {human(ram)}; {hint}")
+    advice = "no model fits, so lower the number of jobs" if exceeds(ram, best, jobs, extra) else f"the largest that fits is {best}"
+    raise EngineError("out_of_memory", detail=f"this machine has {human(ram)}, {jobs} x {model} take {human(estimated(model, jobs) + extra)}, {advice}")

@@ -274,13 +274,13 @@ def nearest_upsample(spark, sf_dir):
 
 @query
 def l2_normalize(spark, sf_dir):
-    v = ve.doubles(F.slice("embedding", 1, 8))
+    v = ve.doubles(F.col("embedding"))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(ve.l2_normalized(v)).alias("i", "x")).select("vec_id", "i", F.round("x", 6).alias("x"))
 
 
 def _neighbours(spark, sf_dir, distance, name) -> DataFrame:
-    """Distance of each vector's first eight values to those of the one before it under its label."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", ve.doubles(F.slice("embedding", 1, 8)).alias("v"))
+    """Distance of each vector to the one before it under its label."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", ve.doubles(F.col("embedding")).alias("v"))
     line = Window.partitionBy("label").orderBy("vec_id")
     rows = rows.withColumns({"before": F.lag("v").over(line), "other_id": F.lag("vec_id").over(line)}).filter("before is not null")
     return rows.select("vec_id", "other_id", F.round(distance(F.col("v"), F.col("before")), 6).alias(name))
@@ -478,8 +478,11 @@ def model_registry(spark, sf_dir):
 @query
 def wer_documents(spark, sf_dir):
     """Error rate of each document's text against that of the one before it, over both whole texts."""
-    line = Window.partitionBy("source", "lang").orderBy("doc_id")
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("got"), F.lag("text").over(line).alias("want")).filter("want is not null")
+    line = Window.partitionBy("source", "lang").orderBy("doc_id")  # of ids only; texts are joined by id
+    docs = table(spark, sf_dir, "documents")
+    pairs = docs.select("doc_id", "source", "lang").select("doc_id", F.lag("doc_id").over(line).alias("before_id")).filter("before_id is not null")
+    rows = docs.select("doc_id", F.col("text").alias("got")).join(pairs, "doc_id")
+    rows = rows.join(docs.select(F.col("doc_id").alias("before_id"), F.col("text").alias("want")), "before_id").filter("want is not null")
     wer = F.pandas_udf(lambda a, b: a.combine(b, tx.word_error_rate), "double")
     return rows.select("doc_id", wer("want", "got").alias("wer"))
 
