@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from itertools import accumulate, combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import NULL_ID, Workspace, doc_id, names_of, null_id, worker
@@ -352,9 +352,14 @@ def wide_links(nodes: DataFrame, radius: int, work: Workspace, *, tables: int =
 
     rows = nodes.select("node", "fp").mapInArrow(worker(keyed), "node long, fp binary, keys array<long>")
     rows = rows.select("node", "fp", F.explode("keys").alias("key"))
-    # at most tables * 2^key_bits keys
-    large = work.keep(rows.groupBy("key").count().filter(F.col("count") > block).select("key", F.ceil(F.col("count") / (block // 2)).cast("int").alias("parts")), "large")
-    if large.limit(1).count():
+    # keys are counted by 64 at once, which few rows are shuffled for; one by one only where those 64 are too many
+    crowd = F.shiftright("key", 6).alias("crowd")
+    crowds = work.keep(rows.groupBy(crowd).count().filter(F.col("count") > block).select("crowd"), "crowds")
+    large = None
+    if crowds.limit(1).count():
+        counts = rows.select(crowd, "key").join(F.broadcast(crowds), "crowd").groupBy("key").count().filter(F.col("count") > block)
+        large = work.keep(counts.select("key", F.ceil(F.col("count") / (block // 2)).cast("int").alias("parts")), "large")
+    if large is not None and large.limit(1).count():
         rows = rows.join(F.broadcast(large), "key", "left")
         own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
         meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, own) * F.col("parts") + F.greatest(o, own))
@@ -378,8 +383,14 @@ def wide_links(nodes: DataFrame, radius: int, work: Workspace, *, tables: int =
 
 
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
-    """``node, root`` for every node of ``edges (u, v)`` but the roots: the least node that can be reached."""
-    edges = work.keep(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    """``node, root`` for every node of ``edges (u, v)`` but the roots: the least node that can be reached.
+
+    ``edges`` are stars, some for each node, however large they are."""
+    edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
+    # a node is in a star of each of its buckets; their roots meet at the least of them, for all nodes alike
+    ties = edges.withColumn("a", F.min("u").over(Window.partitionBy("v")))
+    ties = ties.select(F.explode(F.array(F.struct("a", F.col("v").alias("b")), F.struct("a", F.col("u").alias("b")))).alias("e"))
+    edges = work.keep(ties.select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).filter("u <> v").distinct(), "edges")
     files = max(1, -(-edges.count() // 200_000))  # a step has no more edges than that, so tables don't become scraps
     state = None
     while True:
