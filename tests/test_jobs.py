@@ -1,5 +1,7 @@
 import json
 import os
+import signal
+import threading
 import time
 
 import numpy as np
@@ -181,3 +183,74 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["/nowhere/at/all"]) == 14 and main([str(tmp_path), "--format", "pdf"]) == 2
     assert main(["models", "list", "--cache", str(tmp_path)]) == 0 and "large-v3-turbo" in capsys.readouterr().out
     assert main(["models", "pull", "tiny", "--cache", str(tmp_path), "--offline"]) == 11
+
+
+def slow_transcriber():
+    class Slow(StubTranscriber):
+        marker = os.environ["SLOW_MARKER"]
+
+        def transcribe(self, *a):
+            open(self.marker, "w").close()
+            time.sleep(90)
+
+    return Slow()
+
+
+def test_interrupt(spark, tmp_path, capsys, monkeypatch):
+    from voxloom.__main__ import main
+    from voxloom.session import interruptible
+
+    marker = tmp_path / "begun"
+    monkeypatch.setenv("SLOW_MARKER", str(marker))
+    (tmp_path / "a.wav").write_bytes(wav(tone(300, 1, 16_000)))
+    (tmp_path / "b.wav").write_bytes(wav(tone(300, 1, 16_000)))
+    (tmp_path / "b.txt").write_text("")  # done before
+
+    def press():
+        while not marker.exists():
+            time.sleep(0.1)
+        os.kill(os.getpid(), signal.SIGINT)
+
+    before, began = signal.getsignal(signal.SIGINT), time.time()
+    threading.Thread(target=press, daemon=True).start()
+    assert main([str(tmp_path), "--model", "tiny", "--transcriber", "test_jobs:slow_transcriber"]) == 20
+    assert marker.exists() and time.time() - began < 60
+    assert not list(spark.sparkContext.statusTracker().getActiveJobsIds()) and not (tmp_path / "a.txt").exists()
+    err = capsys.readouterr().err
+    assert "1 of 2 with outputs, interrupted" in err and "1 of 2 files" in err
+    assert signal.getsignal(signal.SIGINT) is before and not spark.sparkContext.getJobTags()
+    with interruptible(spark) as state:  # begins anew
+        assert spark.range(3).count() == 3 and spark.sparkContext.getJobTags()
+    assert not state["interrupted"]
+    assert main([str(tmp_path), "--model", "tiny", "--threads", "0"]) == 2
+
+
+def fetched(name, path):
+    path.write_bytes(name.encode())
+
+
+def test_fetch_and_diarization_pair(tmp_path, capsys, monkeypatch):
+    from voxloom.__main__ import main
+    from voxloom.sources import models
+
+    digest = lambda n: __import__("hashlib").sha256(n.encode()).hexdigest()
+    monkeypatch.setattr(models, "DIARIZATION", [(n, n + ".onnx", size, digest(n)) for n, size in (("segmentation", 1024), ("embedding", 512))])
+    cache = models.ModelCache(str(tmp_path))
+    assert cache.diarization() == {"model": "diarization", "size": 1536, "cached": False}
+    at = ["--cache", str(tmp_path)]
+    assert main(["models", "pull", "diarization", *at]) == 11 and "nothing is named" in capsys.readouterr().err
+    assert main(["models", "pull", "segmentation", "--fetch", "test_jobs:fetched", *at]) == 0 and not cache.diarization()["cached"]
+    assert main(["models", "pull", "diarization", "--fetch", "test_jobs:fetched", *at]) == 0 and cache.diarization()["cached"]
+    assert main(["models", "pull", "tiny", "--fetch", "test_jobs:fetched", *at]) == 11 and "digest" in capsys.readouterr().err
+    assert main(["models", "list", *at]) == 0
+    line = capsys.readouterr().out.strip().split("\n")[-1].split()
+    assert line == ["diarization", "1.5", "KB", "cached"]
+    assert main(["models", "remove", "diarization", *at]) == 0 and not cache.diarization()["cached"]
+
+
+def test_threads_become_task_cores():
+    from voxloom.plans.resources import thread_settings
+
+    assert thread_settings(None, 8) == {}
+    assert thread_settings(3, 8) == {"spark.task.cpus": "3", "spark.executorEnv.OMP_NUM_THREADS": "3"}
+    assert thread_settings(99, 8)["spark.task.cpus"] == "8"

@@ -40,26 +40,32 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--speakers", dest="num_speakers", type=int)
     p.add_argument("--transcriber", help="module:name of a transcriber; without one a stand-in runs that recognises nothing")
     p.add_argument("--speaker-models", help="module:name of speaker models")
+    p.add_argument("--fetch", help="module:name of a function (model, path) that gets a model file; models pull needs it")
     p.add_argument("--cache", default=os.path.expanduser("~/.cache/voxloom"), help="folder of models")
     return p
 
 
 def _models(args) -> int:
     from .plans.resources import human
-    from .sources.models import ModelCache
-
-    cache = ModelCache(args.cache, offline=args.offline)
+    from .sources.models import DIARIZATION, ModelCache
+
+    fetch = None
+    if args.fetch:
+        module, _, attribute = args.fetch.partition(":")
+        fetch = getattr(importlib.import_module(module), attribute)
+    cache = ModelCache(args.cache, fetch, offline=args.offline)
+    pair = lambda names: [m for n in names for m in ([d[0] for d in DIARIZATION] if n == "diarization" else [n])]
     what, *names = args.inputs[1:] or ["list"]
     if what == "list":
-        for m in cache.listing():
+        for m in [*cache.listing(), cache.diarization()]:
             print(f"{m['model']:20} {human(m['size']):>10}  {'cached' if m['cached'] else '-'}")
     elif what == "path":
-        print(*[cache.path(n) for n in names] or [cache.folder], sep="\n")
+        print(*[cache.path(n) for n in pair(names)] or [cache.folder], sep="\n")
     elif what == "pull":
-        for n in names:
+        for n in pair(names):
             print(cache.ensure(n))
     elif what == "remove":
-        for n in names:
+        for n in pair(names):
             print(f"{n}: {'removed' if cache.evict(n) else 'not cached'}")
     else:
         raise EngineError("usage", detail=f"unknown command models {what}")
@@ -71,7 +77,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if args.inputs[0] == "models" and not os.path.exists("models"):
             return _models(args)
-        own = {"transcriber", "speaker_models", "cache"}
+        own = {"transcriber", "speaker_models", "cache", "fetch"}
         options = JobOptions(**{k: v for k, v in vars(args).items() if k not in own} | {"inputs": tuple(args.inputs), "formats": tuple(args.formats.split(","))})
         return _run(args, options)
     except EngineError as e:
@@ -80,17 +86,40 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def _run(args, options: JobOptions) -> int:
-    from .operators import batch
     from .plans.models import StubSpeakers, StubTranscriber
+    from .plans.resources import detected_parallelism, thread_settings
     from .plans.transcribe import plan, run
-    from .session import local_session
+    from .session import interruptible, local_session
 
-    if not plan(options)["paths"]:
+    steps = plan(options)
+    if not steps["paths"]:
         print("no audio files", file=sys.stderr)
         return 0
-    spark = local_session()
+    spark = local_session(**thread_settings(options.threads, detected_parallelism()))
     spark.sparkContext.setLogLevel("ERROR")
-    results = run(spark, options, _load(args.transcriber, StubTranscriber), _load(args.speaker_models, StubSpeakers))
+    with interruptible(spark) as state:
+        try:
+            return _report(run(spark, options, _load(args.transcriber, StubTranscriber), _load(args.speaker_models, StubSpeakers)), options)
+        except Exception:  # a stopped action fails
+            if not state["interrupted"]:
+                raise
+    total, fresh = len(steps["paths"]), sum(_written(p, options) for p in steps["paths"])
+    print(f"{fresh} of {total} with outputs, interrupted", file=sys.stderr)
+    if fresh < total:
+        raise EngineError("interrupted", completed=fresh, total=total)
+    return 0
+
+
+def _written(path: str, options: JobOptions) -> bool:
+    """All outputs of an input are there and no older than it."""
+    stem, folder = os.path.splitext(os.path.basename(path))[0], options.out_dir or os.path.dirname(path)
+    outputs = [os.path.join(folder, f"{stem}.{f}") for f in options.effective_formats]
+    return all(os.path.exists(o) and os.path.getmtime(o) >= os.path.getmtime(path) for o in outputs)
+
+
+def _report(results, options: JobOptions) -> int:
+    from .operators import batch
+
     if options.explain_only:
         for r in results.orderBy("path", "format").collect():  # one line for each file and format
             print(f"{r['path']} -> {r['output']}")

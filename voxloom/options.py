@@ -36,6 +36,8 @@ class JobOptions:
             raise EngineError("usage", detail=f"unknown format {bad[0]}")
         if self.decoder not in ("builtin", "ffmpeg"):
             raise EngineError("usage", detail=f"unknown decoder {self.decoder}")
+        if self.threads is not None and self.threads < 1:
+            raise EngineError("usage", detail="a number of threads is 1 or more")
         if self.num_speakers is not None and (self.num_speakers < 1 or not self.diarize):
             raise EngineError("usage", detail="a number of speakers is 1 or more and needs diarization")
 

@@ -64,6 +64,14 @@ def resolve_jobs(asked: int | None, backend: str, ram: int | None, cores: int, e
     return (2, f"{want} jobs asked for; 2 are run, since one GPU takes turns") if want > 2 else (want, None)
 
 
+def thread_settings(threads: int | None, cores: int) -> dict[str, str]:
+    """Settings for models that use ``threads`` threads a file: a task takes as many cores, all of them at most."""
+    if threads is None:
+        return {}
+    n = str(min(threads, cores))
+    return {"spark.task.cpus": n, "spark.executorEnv.OMP_NUM_THREADS": n}
+
+
 def guard_memory(model: str, jobs: int, ram: int | None, extra: int = 0) -> None:
     if ram is None or not exceeds(ram, model, jobs, extra):
         return

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
+import signal
 import tempfile
+import threading
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +44,42 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(archive)  # the driver serves it to executors as long as it runs
 
 
+@contextlib.contextmanager
+def interruptible(spark: SparkSession, tag: str = "voxloom-job") -> Iterator[dict]:
+    """Within, the first Ctrl-C stops the jobs that carry ``tag``, and no others: the action under way fails, as
+    do those that follow, and ``state["interrupted"]`` is true. The next Ctrl-C does what it did before. Each use begins
+    anew. Off the main thread, where signals can't be taken, it only tags."""
+    state, pressed, over = {"interrupted": False}, threading.Event(), threading.Event()
+    main = threading.current_thread() is threading.main_thread()
+    before = signal.getsignal(signal.SIGINT) if main else None
+
+    def press(*_) -> None:  # the main thread may be in a call to the JVM, so another one makes the next call
+        state["interrupted"] = True
+        signal.signal(signal.SIGINT, before)
+        pressed.set()
+
+    def stop() -> None:
+        pressed.wait()
+        while not over.is_set():
+            spark.sparkContext.cancelJobsWithTag(tag)  # the session's interruptTag finds nothing to stop here
+            over.wait(0.2)
+
+    watcher = threading.Thread(target=stop, daemon=True)
+    spark.sparkContext.addJobTag(tag)
+    if main:
+        signal.signal(signal.SIGINT, press)
+        watcher.start()
+    try:
+        yield state
+    finally:
+        over.set()
+        pressed.set()
+        if main:
+            signal.signal(signal.SIGINT, before)
+            watcher.join()
+        spark.sparkContext.removeJobTag(tag)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

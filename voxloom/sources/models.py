@@ -21,8 +21,12 @@ MODELS = [
     ("large-v3-turbo", "ggml-large-v3-turbo.bin", 1_624_555_275, "1fc70f774d38eb169993ac391eea357ef47c88757ef72ee5943879b7e8e2bc69", True, False, 1),
     ("distil-large-v3.5", "ggml-model.bin", 1_519_521_155, "ec2498919b498c5f6b00041adb45650124b3cd9f26f545fffa8f5d11c28dcf26", False, False, None),
 ]
-#: Sizes of the two diarization models; bytes for a decoded file, for diarization, share of memory that may be used.
-DIARIZATION_SIZES = {"segmentation": 5_986_908, "embedding": 26_535_549}
+#: The two diarization models with size in bytes and SHA-256.
+DIARIZATION = [
+    ("segmentation", "segmentation.onnx", 5_986_908, "057ee564753071c0b09b5b611648b50ac188d50846bff5f01e9f7bbf1591ea25"),
+    ("embedding", "embedding.onnx", 26_535_549, "3955447b0499dc9e0a4541a895df08b03c69098eba4e56c02b5603e9f7f4fcbb"),
+]
+#: Bytes for a decoded file, for diarization, share of memory that may be used.
 DECODE_BUFFER, DIARIZATION_RESIDENT, BUDGET_PERCENT = 1 << 30, 256 << 20, 85
 DEFAULT, SMALLEST, MOST = "large-v3-turbo", "tiny", 2**63 - 1
 
@@ -89,7 +93,11 @@ class ModelCache:
         self.folder, self.fetch, self.offline = Path(folder), fetch, offline
 
     def path(self, model: str) -> Path:
-        return self.folder / model / find_model(model)[1]
+        return self.folder / model / self._about(model)[1]
+
+    @staticmethod
+    def _about(model: str) -> tuple:
+        return next((m for m in DIARIZATION if m[0] == model), None) or find_model(model)
 
     def cached(self, model: str) -> bool:
         return self.path(model).exists()
@@ -97,6 +105,10 @@ class ModelCache:
     def listing(self) -> list[dict]:
         return [{"model": m[0], "size": m[2], "cached": self.cached(m[0]), "path": str(self.path(m[0]))} for m in MODELS]
 
+    def diarization(self) -> dict:
+        """Both diarization models as one: their sizes summed, cached if both are."""
+        return {"model": "diarization", "size": sum(m[2] for m in DIARIZATION), "cached": all(self.cached(m[0]) for m in DIARIZATION)}
+
     def evict(self, model: str) -> bool:
         path = self.path(model)
         there = path.exists() or path.is_symlink()
@@ -106,11 +118,11 @@ class ModelCache:
         return there
 
     def ensure(self, model: str) -> Path:
-        path, want = self.path(model), find_model(model)[3]
+        path, want = self.path(model), self._about(model)[3]
         if path.exists() and matches(path, want):
             return path
         if self.offline or self.fetch is None:
-            raise EngineError("model_download_failed", model=model, detail="not in the cache, and offline")
+            raise EngineError("model_download_failed", model=model, detail="not in the cache, and " + ("offline" if self.offline else "nothing is named that fetches it"))
         for _ in range(2):
             self.evict(model)
             path.parent.mkdir(parents=True, exist_ok=True)
