@@ -100,3 +100,76 @@ def test_comparison_along_the_rows_and_from_link_to_link_agree():
         got = np.arange(n)
         got[v] = u
         assert got.tolist() == root
+
+
+def joined(n, pairs):
+    root = list(range(n))
+    for a, b in pairs:
+        if root[a] != root[b]:
+            root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    return root
+
+
+def test_buckets_of_rows_without_links_are_compared_together(monkeypatch):
+    from voxloom.llm import simhash
+
+    rng, calls, within = np.random.default_rng(6), [], simhash._within
+    monkeypatch.setattr(simhash, "_within", lambda *a: calls.append(1) or within(*a))
+    fps = rng.integers(0, 256, (30 * 80, 16), np.uint8)
+    u, v = simhash._edges(fps, np.arange(30) * 80, np.full(30, 80), 31)
+    assert not len(v) and len(calls) < 100  # not one a row
+
+
+def test_buckets_of_close_and_of_other_rows_keep_all_links(monkeypatch):
+    from voxloom.llm import simhash
+
+    rng = np.random.default_rng(7)
+    for joins in (1 << 21, 50):  # links are put together as they come, too
+        monkeypatch.setattr(simhash, "LINKS", joins)
+        fps, sizes = rng.integers(0, 256, (700, 16), np.uint8), np.array([3, 300, 1, 60, 200, 136])
+        starts = np.cumsum(sizes) - sizes
+        for at, n, share in ((10, 150, 0.06), (200, 40, 0.1), (420, 9, 0.02), (570, 130, 0.13)):
+            fps[at : at + n] = fps[at] ^ np.packbits(rng.random((n, 128)) < share, axis=1)
+        fps[rng.permutation(np.arange(3, 303))] = fps[3:303].copy()
+        group = np.repeat(np.arange(6), sizes)
+        far = np.bitwise_count(fps[:, None] ^ fps[None]).sum(2)
+        near = np.argwhere((far <= 31) & (group[:, None] == group[None]))
+        got = joined(700, zip(*(x.tolist() for x in simhash._edges(fps, starts, sizes, 31))))
+        assert got == joined(700, near.tolist()) and 300 < len(set(got)) < 600
+
+
+def test_groups_are_whole_however_rows_come():
+    import pyarrow as pa
+
+    from voxloom.llm import simhash
+
+    rng = random.Random(1)
+    keys = sorted(rng.randint(0, 40) for _ in range(3000))
+    batches, at = [], 0
+    while at < 3000:
+        n = rng.randint(0, 70)
+        batches.append(pa.RecordBatch.from_arrays([pa.array(keys[at : at + n], pa.int64()), pa.array(range(at, min(3000, at + n)), pa.int64())], ["key", "node"]))
+        at += n
+    for together in (1, 100, 1 << 17):
+        simhash.TOGETHER, before = together, simhash.TOGETHER
+        parts = list(simhash._whole_groups(batches, ("key", "node"), 1))
+        simhash.TOGETHER = before
+        assert [x for p in parts for x in p[0].tolist()] == keys and [x for p in parts for x in p[1].tolist()] == list(range(3000))
+        assert all(p[0][-1] != q[0][0] for p, q in zip(parts, parts[1:]))
+    assert list(simhash._whole_groups([], ("key", "node"), 1)) == []
+
+
+def test_sets_of_a_large_group_are_not_compared_one_by_one(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.r_[base[:90], rng.integers(1000, 2**60, 3, np.uint64)] for _ in range(200)]
+    between = np.r_[base[:90], np.arange(500, 512, dtype=np.uint64)]
+    sets += [np.r_[base[:78], np.arange(500, 512, dtype=np.uint64)], rng.integers(1000, 2**60, 90, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), between]
+    sets = [np.unique(sets[k]) for k in rng.permutation(len(sets))]
+    common = np.array([[len(np.intersect1d(a, b)) for a in sets] for b in sets])
+    size = np.array([len(s) for s in sets])
+    want = joined(len(sets), np.argwhere(100 * common >= 80 * (size + size[:, None] - common)).tolist())
+    calls, split = [], np.split
+    monkeypatch.setattr(np, "split", lambda *a: calls.append(1) or split(*a))
+    assert nc.linked_sets(sets).tolist() == want and len(set(want)) == 3
+    assert len(calls) < 40  # two for each set that is compared with all

@@ -69,20 +69,29 @@ def linked_sets(sets: list, percent: int = PERCENT):
     ends = np.r_[0, np.bincount(columns, minlength=len(values)).cumsum()]
     begins = np.r_[0, sizes.cumsum()]
     root, left = np.full(n, -1), n
+
+    def linked_to(i):
+        own = columns[begins[i] : begins[i + 1]]
+        lengths = ends[own + 1] - ends[own]
+        common = np.zeros(n, np.int64)
+        cuts = np.flatnonzero(np.diff(lengths.cumsum() // 4_000_000)) + 1
+        for c, m in zip(np.split(own, cuts), np.split(lengths, cuts), strict=True):
+            at = np.arange(m.sum()) + np.repeat(ends[c] - np.r_[0, m.cumsum()[:-1]], m)
+            common += np.bincount(owner[at], minlength=n)
+        return 100 * common >= percent * (sizes + sizes[i] - common)
+
     for first in range(n):
         if root[first] >= 0:
             continue
         root[first], left, front = first, left - 1, [first]
         while front and left:
-            i = front.pop()
-            own = columns[begins[i] : begins[i + 1]]
-            lengths = ends[own + 1] - ends[own]
-            common = np.zeros(n, np.int64)
-            cuts = np.flatnonzero(np.diff(lengths.cumsum() // 4_000_000)) + 1
-            for c, m in zip(np.split(own, cuts), np.split(lengths, cuts), strict=True):
-                at = np.arange(m.sum()) + np.repeat(ends[c] - np.r_[0, m.cumsum()[:-1]], m)
-                common += np.bincount(owner[at], minlength=n)
-            hit = np.flatnonzero((root < 0) & (100 * common >= percent * (sizes + sizes[i] - common)))
+            if left < len(front):  # the links between the two sides are found from either; those to groups before are known
+                for j in np.flatnonzero(root < 0):
+                    root[j] = j
+                    meet = np.unique(root[linked_to(j) & (root >= 0)])
+                    root[np.isin(root, meet)] = meet[0]
+                return root
+            hit = np.flatnonzero((root < 0) & linked_to(front.pop()))
             root[hit] = first
             left -= len(hit)
             front += hit.tolist()

@@ -6,10 +6,10 @@ bytes, so each goes, once for every choice of the bytes that agree, to a bucket
 in some bucket, and a bucket holds at most 2^16 distinct fingerprints (radius 2), however the documents are
 spread. Within a bucket only the free bits
 are compared, stored as vertical bit planes: a plane's word holds that bit of 64 fingerprints, differences are
-summed by carry-save counters for 64 at once, and words are given up once all of them exceed the radius. Buckets
-of a few rows are compared together, each row with those after it in its bucket, by shifting the planes of the
-whole batch; larger ones row by row from link to link. Each linked group of a bucket becomes a star about its least
-row, not its pairs. Stars of all buckets are joined to components by alternating large-star and small-star steps.
+summed by carry-save counters for 64 at once, and words are given up once all of them exceed the radius. Rows
+of many buckets are compared together, each row with those after it in its bucket, by shifting the planes of the
+whole batch; where large groups are close, these are found first, from link to link. Each linked group of a bucket
+becomes a star about its least row, not its pairs. Stars of all buckets are joined to components by alternating large-star and small-star steps.
 
 ``wide_links`` does the same for fingerprints of 128 bits and large radii, as sets of shingles of a Jaccard index of
 0.8 need them: there no choice of bytes has to agree, so buckets are tables of sampled bits.
@@ -132,13 +132,10 @@ def _above(sums, over, radius: int):
     return above
 
 
-def neighbours_linked(fps, bucket, radius: int, most: int):
-    """Places ``i, j`` of all links within buckets of at most ``most`` rows; ``bucket`` numbers them in ascending order.
-
-    Rows at a distance of 1, 2, ... are compared all along the planes, shifted by that distance."""
+def _along(fps, bucket, radius: int, most: int):
+    """As ``neighbours_linked``, a piece for each distance."""
     import numpy as np
 
-    found = [], []
     step = 1 << 16
     size = np.bincount(bucket, minlength=1)[bucket] if len(bucket) else np.zeros(0, np.int64)
     for at in range(0, len(fps), step):
@@ -160,20 +157,35 @@ def neighbours_linked(fps, bucket, radius: int, most: int):
                 return plane[live] ^ there
 
             i = _numbers(_within((differ, len(planes)), radius, _flags(same, width)), len(own))
-            found[0].append(at + i)
-            found[1].append(at + i + o)
-    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in found)
+            yield at + i, at + i + o
+
+
+def neighbours_linked(fps, bucket, radius: int, most: int):
+    """Places ``i, j`` of all links within buckets of at most ``most`` rows; ``bucket`` numbers them in ascending order.
+
+    Rows at a distance of 1, 2, ... are compared all along the planes, shifted by that distance."""
+    import numpy as np
+
+    found = list(_along(fps, bucket, radius, most))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]) for k in (0, 1))
 
 
 def stars(fps, radius: int):
     """Places ``root, member`` of the groups that links join among the rows of one bucket."""
+    return _collapsed(fps, radius, len(fps))[:2]
+
+
+def _collapsed(fps, radius: int, patience: int):
+    """``stars``, and the places that are left when ``patience`` groups in a row have each joined under a sixteenth of
+    the rows; whole groups are found, so no link runs from those left to others."""
     import numpy as np
 
     bits = np.unpackbits(fps, axis=1, bitorder="little").T
     every, n = np.uint64(2**64 - 1), len(fps)
     rest, roots, members = np.arange(n), [], []
     packed, waiting, planes = rest, None, None
-    while len(rest):
+    small = 0
+    while len(rest) and small < patience:
         if waiting is None or 2 * len(rest) < len(packed):  # those that still wait, close together
             packed, planes = rest, planes_of(fps[rest])
             waiting = _flags(np.ones(len(rest), bool), planes.shape[1])
@@ -194,8 +206,9 @@ def stars(fps, radius: int):
             front = np.concatenate(reached)
             roots.append(np.full(len(front), root))
             members.append(front)
-        rest = packed[_numbers(waiting, len(packed))]
-    return tuple(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (roots, members))
+        before, rest = len(rest), packed[_numbers(waiting, len(packed))]
+        small = small + 1 if 16 * (before - len(rest)) < before else 0
+    return (*(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (roots, members)), rest)
 
 
 def linked(fps, radius: int, planes: list[int]):
@@ -213,27 +226,35 @@ def _bytes_of(fps, planes: list[int]):
     return np.ascontiguousarray(fps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, sorted({p // 8 for p in planes})])
 
 
-#: Buckets of more rows than that are searched from one fingerprint to the next, others by shifted planes. Both find every link.
-ALONG = 48
+#: Buckets of more rows than that, of which a quarter are close to one of them, are searched from link to link until
+#: their large groups are found; what is left, and all others, by shifted planes. Both find every link.
+ALONG, PATIENCE = 48, 8
+#: Rows that are compared at once, as a plane's operations cost the same for a few words as for hundreds; links that
+#: are held before they are put together, as they are as many as the square of a group.
+TOGETHER, LINKS = 1 << 17, 1 << 21
 
 
 def _whole_groups(batches, names, keys: int):
-    """Arrays of the columns ``names`` that never end within a group, rows that agree in the first ``keys`` of them."""
+    """Arrays of the columns ``names``, of some ``TOGETHER`` rows, that never end within a group, rows that agree in the
+    first ``keys`` of them."""
     import numpy as np
 
-    held = None
+    held, n, enough = [], 0, TOGETHER
     for b in batches:
-        now = [b[c].to_numpy(zero_copy_only=False) if c != "fp" or b[c].type != "binary" else _matrix(b[c]) for c in names]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-        if not len(now[0]):
+        if not b.num_rows:
+            continue
+        held.append([b[c].to_numpy(zero_copy_only=False) if c != "fp" or b[c].type != "binary" else _matrix(b[c]) for c in names])
+        n += b.num_rows
+        if n < enough:
             continue
+        now = [np.concatenate(x) for x in zip(*held, strict=True)]
         cut = int(np.flatnonzero(np.logical_and.reduce([x == x[-1] for x in now[:keys]]))[0])
         if cut:
             yield [x[:cut] for x in now]
-        held = [x[cut:] for x in now]
-    if held is not None and len(held[0]):
-        yield held
+        held, n = [[x[cut:] for x in now]], n - cut
+        enough = max(TOGETHER, 2 * n)  # a group larger than that is not put together anew for every batch
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def _matrix(column):
@@ -260,19 +281,50 @@ def _least_linked(n: int, i, j):
             return root
 
 
+def _dense(fps, starts, sizes, radius: int):
+    """Buckets of over ``ALONG`` rows in which a quarter are within the radius of one of four rows."""
+    import numpy as np
+
+    large = np.flatnonzero(sizes > ALONG)
+    if not len(large):
+        return large
+    size = sizes[large]
+    first = np.cumsum(size) - size
+    rows = np.arange(size.sum()) + np.repeat(starts[large] - first, size)
+    own, most = fps[rows], np.zeros(len(large), np.int64)
+    for k in range(4):
+        far = np.bitwise_count(own ^ np.repeat(fps[starts[large] + k * size // 4], size, axis=0)).sum(1, dtype=np.int64)
+        most = np.maximum(most, np.add.reduceat((far <= radius).astype(np.int64), first))
+    return large[4 * most >= size]
+
+
 def _edges(fps, starts, sizes, radius: int):
     """Places ``root, member`` of the groups that links join within groups of rows; ``fps`` are rows of bytes."""
     import numpy as np
 
-    i, j = neighbours_linked(fps, np.repeat(np.arange(len(starts)), sizes), radius, ALONG)
-    root = _least_linked(len(fps), i, j)
-    v = [np.flatnonzero(root != np.arange(len(fps)))]
-    u = [root[v[0]]]
-    for g in np.flatnonzero(sizes > ALONG):
-        x, y = stars(fps[starts[g] : starts[g] + sizes[g]], radius)
+    u, v, left = [], [], np.ones(len(fps), bool)
+    for g in _dense(fps, starts, sizes, radius):
+        x, y, rest = _collapsed(fps[starts[g] : starts[g] + sizes[g]], radius, PATIENCE)
         u.append(x + starts[g])
         v.append(y + starts[g])
-    return np.concatenate(u), np.concatenate(v)
+        left[starts[g] : starts[g] + sizes[g]] = False
+        left[starts[g] + rest] = True
+    rows = np.flatnonzero(left)
+    bucket = np.repeat(np.arange(len(starts)), sizes)[rows]
+    most, held, n = int(np.bincount(bucket, minlength=1).max()), [(np.zeros(0, np.int64),) * 2], 0
+
+    def joined():
+        root = _least_linked(len(rows), *(np.concatenate(x) for x in zip(*held, strict=True)))
+        more = np.flatnonzero(root != np.arange(len(rows)))
+        return root[more], more
+
+    for i, j in _along(fps[rows], bucket, radius, most):
+        held.append((i, j))
+        n += len(i)
+        if n > LINKS:
+            held, n = [joined()], 0
+    i, j = joined()
+    return np.concatenate([*u, rows[i]]), np.concatenate([*v, rows[j]])
 
 
 def bucket_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
