@@ -143,3 +143,17 @@ def test_raw_segments_and_words(spark):
     df = spark.createDataFrame([(0, 0, i, t, 10 * i, 10 * i + 9) for i, t in enumerate(tokens)], "file_id long, seg_no int, tok_no int, text string, t0_cs long, t1_cs long")
     got = sorted(words.group_words(df).collect(), key=lambda r: r["word_no"])
     assert [(r["text"], r["start"], r["end"]) for r in got] == [("Hello", 0.1, 0.29), ("world.\n", 0.3, 0.69), ("[x]", 0.7, 0.79)]
+
+
+def test_silent_frames_are_neither_shuffled_nor_sorted(spark, tmp_path):
+    """A file of an hour with three frames on: its 200,000 frames come, but only after the last exchange."""
+    active = spark.createDataFrame([(0, 0, 0, 0), (0, 9, 58, 0), (0, 9, 58, 1), (0, 3599, 588, 2), (1, 0, 5, 0)], "file_id long, chunk_no int, frame_no int, local_spk int")
+    files = spark.createDataFrame([(0, 3600), (1, 1), (2, 2), (None, 1)], "file_id long, n_chunks int")
+    counts = frames.speaker_count(active, files)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Window") and "Join" not in plan
+    got = counts.groupBy("file_id").agg(F.count("*").alias("frames"), F.countDistinct("frame"), F.sum("n")).collect()
+    ends = {n: max(int(np.rint((9 + n) / (10 / 589) - 0.5)), 0) + 1 for n in (1, 2, 3600)}
+    assert sorted(tuple(r) for r in got if r[0] is not None) == [(0, ends[3600], ends[3600], 2), (1, ends[1], ends[1], 1), (2, ends[2], ends[2], 0)]
+    assert [tuple(r) for r in got if r[0] is None] == [(None, ends[1], ends[1], 0)]
+    assert dict(counts.dtypes) == {"file_id": "bigint", "frame": "int", "n": "int"}

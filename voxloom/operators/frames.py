@@ -4,7 +4,7 @@ Activity is in long form, a row for each frame on which a window's local speaker
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import FRAMES, chunk_start_frame, frame_middle, num_chunks, num_global_frames
@@ -16,17 +16,33 @@ def chunk_plan(files: DataFrame, *, samples: str = "n_samples", hop: int = 16_00
     return files.withColumn("chunk_no", chunk).withColumn("start_sample", F.col("chunk_no").cast("long") * hop)
 
 
+def _windows_over(frame: Column, chunks: Column) -> Column:
+    """How many of a file's windows cover a frame, from its number alone: a dozen windows come into question."""
+    about = F.floor(frame / (FRAMES / 10)).cast("int")
+    last = F.least(about + 1, chunks - 1)
+    near = F.sequence(F.greatest(about - 11, F.lit(0)), F.greatest(last, F.lit(0)))
+    return F.size(F.filter(near, lambda c: (c <= last) & frame.between(chunk_start_frame(c), chunk_start_frame(c) + FRAMES - 1)))
+
+
 def speaker_count(active: DataFrame, files: DataFrame, *, by: str = "file_id", cap: int | None = None) -> DataFrame:
     """``by, frame, n`` for every global frame: mean number of speakers over the windows that cover it, ties to
-    even. ``active``: ``by, chunk_no, frame_no, local_spk``; ``files``: ``by, n_chunks``."""
-    chunks = files.select(by, F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk_no"))
-    first = chunk_start_frame(F.col("chunk_no"))
-    covered = chunks.select(by, F.explode(F.sequence(first, first + FRAMES - 1)).alias("frame")).groupBy(by, "frame").agg(F.count("*").alias("windows"))
-    on = active.select(by, (chunk_start_frame(F.col("chunk_no")) + F.col("frame_no")).alias("frame")).groupBy(by, "frame").agg(F.count("*").alias("on"))
-    every = files.select(by, F.explode(F.sequence(F.lit(0), num_global_frames(F.col("n_chunks")) - 1)).alias("frame"))
-    n = F.coalesce(F.rint(F.col("on") / F.col("windows")).cast("int"), F.lit(0))
+    even. ``active``: ``by, chunk_no, frame_no, local_spk``; ``files``: ``by, n_chunks``.
+
+    Only frames on which someone is on, and one row a file, are shuffled and sorted; each then brings along the
+    silent frames up to the next, so no table of all frames is held, joined or aggregated.
+    """
+    on = active.select(by, (chunk_start_frame(F.col("chunk_no")) + F.col("frame_no")).cast("int").alias("frame")).filter(F.col(by).isNotNull() & (F.col("frame") >= 0))
+    on = on.groupBy(by, "frame").agg(F.count("*").alias("on")).withColumn("chunks", F.lit(None).cast("int"))
+    marks = on.unionByName(files.select(by, F.lit(-1).alias("frame"), F.lit(0).cast("long").alias("on"), F.col("n_chunks").cast("int").alias("chunks")))
+    line = Window.partitionBy(by).orderBy("frame")
+    chunks = F.max("chunks").over(line.rowsBetween(Window.unboundedPreceding, 0))  # that of the file's own row, frame -1, the first
+    rows = marks.withColumns({"chunks": chunks, "next": F.lead("frame").over(line)}).withColumn("total", num_global_frames(F.col("chunks"))).filter("frame < total")
+    windows = _windows_over(F.col("frame"), F.col("chunks"))
+    n = F.when((F.col("frame") >= 0) & (windows > 0), F.rint(F.col("on") / F.nullif(windows, F.lit(0))).cast("int")).otherwise(0)
     n = n if cap is None else F.least(n, F.lit(cap))
-    return every.join(covered, [by, "frame"], "left").join(on, [by, "frame"], "left").select(by, "frame", n.alias("n"))
+    until = F.least(F.coalesce("next", "total"), F.col("total")) - 1
+    rows = rows.select(by, F.col("frame").alias("__first"), n.alias("__n"), F.explode(F.sequence("frame", until)).alias("__at")).filter("__at >= 0")
+    return rows.select(by, F.col("__at").alias("frame"), F.when(F.col("__at") == F.col("__first"), F.col("__n")).otherwise(0).alias("n"))
 
 
 def cluster_support(active: DataFrame, labels: DataFrame, *, by: str = "file_id") -> DataFrame:
