@@ -157,3 +157,12 @@ def test_silent_frames_are_neither_shuffled_nor_sorted(spark, tmp_path):
     assert sorted(tuple(r) for r in got if r[0] is not None) == [(0, ends[3600], ends[3600], 2), (1, ends[1], ends[1], 1), (2, ends[2], ends[2], 0)]
     assert [tuple(r) for r in got if r[0] is None] == [(None, ends[1], ends[1], 0)]
     assert dict(counts.dtypes) == {"file_id": "bigint", "frame": "int", "n": "int"}
+
+
+def test_a_frame_is_one_row_until_its_clusters_are_chosen(spark):
+    counts = spark.createDataFrame([(0, 0, 3), (0, 1, 1), (0, 2, 0), (1, 0, 2)], "file_id long, frame int, n int")
+    support = spark.createDataFrame([(0, 0, 4, 9), (0, 0, 1, 2), (0, 0, 99, 50), (0, 2, 1, 1)], "file_id long, frame int, cluster int, support long")
+    clusters = spark.createDataFrame([(0, 5), (1, 1)], "file_id long, n_clusters int")
+    top = frames.top_clusters(support, counts, clusters)
+    assert "explode(sequence" not in top._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in top.collect()) == [(0, 0, 0), (0, 0, 1), (0, 0, 4), (0, 1, 0), (1, 0, 0), (1, 0, 1)]

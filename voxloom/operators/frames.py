@@ -54,14 +54,19 @@ def cluster_support(active: DataFrame, labels: DataFrame, *, by: str = "file_id"
 
 def top_clusters(support: DataFrame, counts: DataFrame, clusters: DataFrame, *, by: str = "file_id") -> DataFrame:
     """``by, frame, cluster`` of the ``n`` best supported clusters of each frame, the lower id on ties; where more
-    are asked for than have support, those without any fill up. ``clusters``: ``by, n_clusters``."""
-    most = counts.groupBy(by).agg(F.max("n").alias("m"))
-    width = clusters.join(most, by).select(by, F.greatest("n_clusters", "m").alias("width"))
-    grid = counts.filter("n > 0").join(width, by).withColumn("cluster", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
-    ranked = grid.join(support, [by, "frame", "cluster"], "left").withColumn(
-        "r", F.row_number().over(Window.partitionBy(by, "frame").orderBy(F.desc(F.coalesce("support", F.lit(0))), "cluster"))
-    )
-    return ranked.filter("r <= n").select(by, "frame", "cluster")
+    are asked for than have support, those without any fill up. ``clusters``: ``by, n_clusters``.
+
+    A frame is one row with its few supported clusters as an array, not one row for each cluster there is."""
+    spoken = counts.filter("n > 0").withColumn("m", F.max("n").over(Window.partitionBy(by)))
+    spoken = spoken.join(clusters.select(by, "n_clusters"), by).select(by, "frame", "n", F.greatest("n_clusters", "m").alias("width"))
+    kind = dict(spoken.dtypes)["width"]
+    named = support.filter("support > 0").select(by, "frame", F.struct((-F.col("support")).alias("s"), F.col("cluster").cast(kind).alias("k")).alias("c"))
+    named = named.groupBy(by, "frame").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    every = F.sequence(F.lit(0).cast(kind), F.col("width") - 1)
+    known = F.filter(F.transform(F.coalesce("c", F.expr("array()").cast(f"array<struct<s:bigint,k:{kind}>>")), lambda c: c["k"]), lambda k: (k >= 0) & (k < F.col("width")))
+    rows = spoken.join(named, [by, "frame"], "left").select(by, "frame", "n", known.alias("known"), every.alias("every"))
+    best = F.slice(F.concat("known", F.array_except("every", "known")), F.lit(1), F.col("n"))
+    return rows.select(by, "frame", F.explode(best).alias("cluster"))
 
 
 def to_turns(on: DataFrame, files: DataFrame, *, by: str = "file_id", frames: str = "n_frames") -> DataFrame:
