@@ -166,3 +166,30 @@ def test_a_frame_is_one_row_until_its_clusters_are_chosen(spark):
     top = frames.top_clusters(support, counts, clusters)
     assert "explode(sequence" not in top._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(tuple(r) for r in top.collect()) == [(0, 0, 0), (0, 0, 1), (0, 0, 4), (0, 1, 0), (1, 0, 0), (1, 0, 1)]
+
+
+@pytest.mark.parametrize("width", [None, 7, 1000])
+def test_speakers_of_pieces_are_found_in_the_segments_own_row(spark, width):
+    rng = random.Random(8)
+    seg = [(f, i, a, a + rng.randint(0, 40)) for f in range(8) for i in range(15) for a in [rng.randint(-50, 200)]]
+    trn = [(f, a, a + rng.randint(0, 30), rng.randint(0, 3)) for f in range(7) for _ in range(25) for a in [rng.randint(-50, 200)]] + [(0, 10, 5, 9)]
+    s = spark.createDataFrame(seg, "file_id long, seg_no int, start long, end long")
+    t = spark.createDataFrame(trn, "file_id long, start long, end long, speaker int")
+    rows = intervals.with_overlapping_turns(s, t, bin_width=width).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    cut = lambda k: F.col("start") + F.call_function("div", (F.col("end") - F.col("start")) * k, F.lit(5))
+    got = {(r["file_id"], r["seg_no"], r["k"]): r["x"] for r in rows.select("*", intervals.speaker_within(cut(F.col("k")), cut(F.col("k") + 1), F.col("turns")).alias("x")).collect()}
+    assert len(got) == 5 * len(seg)
+    for f, i, a, e in seg:
+        for k in range(5):
+            lo, hi, sums = a + (e - a) * k // 5, a + (e - a) * (k + 1) // 5, Counter()
+            for g, b, z, who in trn:
+                if g == f and min(hi, z) > max(lo, b):
+                    sums[who] += min(hi, z) - max(lo, b)
+            assert got[f, i, k] == (min(sums, key=lambda x: (-sums[x], x)) if sums else None)
+
+
+def test_words_are_not_shuffled_to_find_their_speakers(spark):
+    from voxloom.queries import QUERIES
+
+    plan = QUERIES["dominant_speaker_words"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("posexplode") < min(plan.index("Join"), plan.index("Aggregate"))

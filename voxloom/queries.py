@@ -119,12 +119,11 @@ def dominant_speaker_none(spark, sf_dir):
 @query
 def dominant_speaker_words(spark, sf_dir):
     parts = F.filter(F.split("text", " "), lambda w: w != "")
-    rows = _segments(spark, sf_dir).withColumn("w", parts).withColumn("n", F.size("w").cast("long"))
-    rows = rows.select("file_id", "seg_no", "start", "end", "n", F.posexplode("w").alias("word_no", "word"))
+    rows = intervals.with_overlapping_turns(_segments(spark, sf_dir), _turns(spark, sf_dir), bin_width=60_000).withColumn("w", parts).withColumn("n", F.size("w").cast("long"))
+    rows = rows.select("file_id", "seg_no", "start", "end", "turns", "n", F.posexplode("w").alias("word_no", "word"))
     share = lambda k: F.col("start") + F.call_function("div", (F.col("end") - F.col("start")) * k, F.col("n"))
-    rows = rows.withColumns({"start": share(F.col("word_no")), "end": share(F.col("word_no") + 1), "key": F.struct("seg_no", "word_no")})
-    out = intervals.dominant_speaker(rows, _turns(spark, sf_dir), segment="key")
-    return out.select("file_id", "seg_no", "word_no", "word", "speaker")
+    rows = rows.withColumns({"from": share(F.col("word_no")), "to": share(F.col("word_no") + 1)})
+    return rows.select("file_id", "seg_no", "word_no", "word", intervals.speaker_within(F.col("from"), F.col("to"), F.col("turns")).alias("speaker"))
 
 
 @query
