@@ -115,3 +115,21 @@ def test_no_cap_unless_asked_for(spark):
     assert inspect.signature(c.cluster_slots).parameters["max_slots"].default is None
     got = QUERIES["hac_centroid"](spark, "/root/testdata/sf0.001")
     assert "error" in got.columns and not got.filter("cluster is null").count()
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_groups_apart_have_the_labels_of_one_linkage_over_all(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 40, rng.integers(1, 7))
+    x = c.normalized(np.concatenate([bundles(*sizes, dim=8, spread=rng.choice([0.05, 0.2, 0.4, 0.8]), seed=seed), np.zeros((2, 8))])[rng.permutation(sizes.sum() + 2)])
+    for threshold in (0.2, 0.5, c.THRESHOLD, 1.0):
+        want = c.cut_by_height(c.centroid_linkage(x), len(x), threshold)
+        assert c.labels_within(x, threshold).tolist() == want.tolist()
+        assert sorted(np.concatenate(c.apart(x, threshold)).tolist()) == list(range(len(x)))
+
+
+def test_speakers_far_apart_are_clustered_one_by_one(monkeypatch):
+    seen, whole = [], c.centroid_linkage
+    monkeypatch.setattr(c, "centroid_linkage", lambda x, *a: seen.append(len(x)) or whole(x, *a))
+    assert c.cluster(bundles(60, 50, 40)).tolist() == [0] * 60 + [1] * 50 + [2] * 40
+    assert sorted(seen) == [40, 50, 60]

@@ -1,7 +1,8 @@
 """Clustering of speakers: centroid linkage within a file, centroids and assignment over DataFrames.
 
-A file is one group of ``applyInPandas``; time is quadratic in its slots, memory linear. ``max_slots`` is for those
-who would rather have an error row than wait; without it every file is clustered."""
+A file is one group of ``applyInPandas``; time is quadratic in the slots of its largest group that stands apart from
+the others (see ``apart``), memory linear. ``max_slots`` is for those who would rather have an error row than wait;
+without it every file is clustered."""
 
 from __future__ import annotations
 
@@ -39,8 +40,9 @@ def _square_to(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def centroid_linkage(x: np.ndarray) -> np.ndarray:
-    """Merges ``(a, b, height, size)`` by nearest centroids; nodes from ``len(x)`` on are merges in order.
+def centroid_linkage(x: np.ndarray, until: float = np.inf) -> np.ndarray:
+    """Merges ``(a, b, height, size)`` by nearest centroids; nodes from ``len(x)`` on are merges in order, up to the
+    first over ``until``. (Whatever comes after that one has it below, or joins centroids that were as far apart.)
 
     Memory is linear: each centroid has its nearest one among those after it. Where that one is gone its distance
     stays as a lower bound, and the search is done again only once the bound is the least of all.
@@ -68,6 +70,8 @@ def centroid_linkage(x: np.ndarray) -> np.ndarray:
         while stale[i := int(least.argmin())]:
             search(i, squares(i, i + 1))
         j, d = int(near[i]), least[i]
+        if np.sqrt(d) > until:
+            break
         a, b = sorted((int(node[i]), int(node[j])))
         total = size[i] + size[j]
         out.append((a, b, np.sqrt(d), total))
@@ -115,6 +119,46 @@ def cut_by_height(merges: np.ndarray, n: int, threshold: float = THRESHOLD) -> n
     return _components(merges, n, top <= threshold)
 
 
+def apart(x: np.ndarray, threshold: float, most: int = 64) -> list[np.ndarray]:
+    """Rows in groups whose hulls are more than the threshold apart, so that no centroids of two groups ever come
+    within it: groups have the merges up to the threshold that they would have together. First guesses are the rows
+    nearest to each of at most ``most`` rows far from one another; those that can't be told apart along the line
+    between their means become one."""
+    square, at = _square_to(x, x[0]), np.zeros(len(x), int)
+    for k in range(1, most):
+        far = int(square.argmax())
+        if square[far] <= threshold**2:
+            break
+        away = _square_to(x, x[far])
+        nearer = away < square
+        at[nearer], square[nearer] = k, away[nearer]
+    groups = [np.flatnonzero(at == k) for k in range(at.max() + 1)]
+    groups, a = [g for g in groups if len(g)], 0
+    while a < len(groups):
+        joined = []
+        for b in range(len(groups)):
+            if b == a:
+                continue
+            line = x[groups[b]].mean(0) - x[groups[a]].mean(0)
+            length = np.sqrt(line @ line)
+            if not length or (x[groups[b]] @ line).min() - (x[groups[a]] @ line).max() <= (threshold + 1e-6) * length:
+                joined.append(b)
+        if joined:  # the larger group may reach others, so all are looked at again
+            one = np.sort(np.concatenate([groups[k] for k in [a, *joined]]))
+            groups, a = [one, *(g for k, g in enumerate(groups) if k != a and k not in joined)], 0
+        else:
+            a += 1
+    return groups
+
+
+def labels_within(x: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """The labels of ``cut_by_height`` over all rows, each by its first row, found group by group."""
+    labels = np.empty(len(x), int)
+    for rows in apart(x, threshold):
+        labels[rows] = rows[cut_by_height(centroid_linkage(x[rows], threshold), len(rows), threshold)]
+    return labels
+
+
 def large_labels(labels: np.ndarray, least: int) -> np.ndarray:
     names, counts = np.unique(labels, return_counts=True)
     return names[counts >= least]
@@ -161,11 +205,10 @@ def cluster(x: np.ndarray, num_speakers: int | None = None, threshold: float = T
         return np.zeros(n, int)
     unit = normalized(x)
     least = min(MIN_MEMBERS, max(1, int(np.rint(0.1 * n))))
-    merges = centroid_linkage(unit)
-    labels = cut_by_height(merges, n, threshold)
+    labels = labels_within(unit, threshold)
     large = large_labels(labels, least)
     if num_speakers is not None and len(large) != (target := min(max(num_speakers, 1), n)):
-        labels = cut_to_count(merges, n, target, least, threshold)
+        labels = cut_to_count(centroid_linkage(unit), n, target, least, threshold)
         large = large_labels(labels, least)
     return dense(absorb_small(labels, large, unit))
 
